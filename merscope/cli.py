@@ -6,6 +6,8 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import AnalysisException
+
 from merscope.plans.histogram import METHODS, kmer_histogram_from_files
 from merscope.plans.report import parameter_line, write_report
 from merscope.session import build_session
@@ -60,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
             copies=args.copies,
             seed=args.seed,
         )
-    except ValueError as error:
+    except (ValueError, AnalysisException) as error:
         print(error, file=sys.stderr)
         return 1
     write_report(histogram, args.o, args.k, parameters)

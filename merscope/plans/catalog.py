@@ -148,7 +148,17 @@ def kmer_counts_k33(spark, sf_dir):
 
 @query
 def kmer_counts_k65(spark, sf_dir):
-    return counted(derived.long_reads(spark, sf_dir), 65)
+    """Three-word k-mers, summed up per leading bases."""
+    return (
+        counted(derived.long_reads(spark, sf_dir), 65)
+        .groupBy(F.substring("kmer", 1, 5).alias("prefix"))
+        .agg(
+            F.count(F.lit(1)).alias("kmers"),
+            F.sum("cnt").alias("cnt"),
+            F.min("kmer").alias("first_kmer"),
+            F.max("kmer").alias("last_kmer"),
+        )
+    )
 
 
 @query

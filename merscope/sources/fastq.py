@@ -14,15 +14,16 @@ def fastq_sequences(raw: DataFrame, value: str = "value") -> DataFrame:
     Such a piece is either a record (header, bases, ``+`` line, quality) or,
     since a quality may begin with ``@`` too, what is left of a quality line. A
     piece with a second line holds bases; the rest of a quality line has none.
-    ``+name`` lines and CRLF need no special case. Records whose bases span
-    several lines are refused.
+    ``+name`` lines and CRLF need no special case, and a last record may end
+    right after its bases. Records whose bases span several lines are refused.
     """
     text = F.col(value)
     two = F.substring_index(text, "\n", 2)
     third = F.substring_index(F.substring_index(text, "\n", 3), "\n", -1)
     bases = F.rtrim(F.substring_index(two, "\n", -1), F.lit("\r"))
-    plus = (F.octet_length(two) < F.octet_length(text)) & third.startswith("+")
-    cut_short = F.octet_length(two) == F.octet_length(text)
+    rest = F.octet_length(text) - F.octet_length(two)
+    plus = (rest > 0) & third.startswith("+")
+    cut_short = rest <= 1
     message = F.concat(F.lit("FASTQ record without a '+' line after its bases in "), F.col("file"))
     parts = raw.where(F.contains(text, F.lit("\n"))).select(
         "file", bases.alias("bases"), plus.alias("plus"), (plus | cut_short).alias("sound")

@@ -14,9 +14,14 @@ from merscope.sources.spread import spread
 SUFFIXES = {"fasta": (".fa", ".fasta"), "fastq": (".fq", ".fastq")}
 GZIP = ".gz"
 
-# Hadoop picks a decompressor by file name; naming only a codec that no
-# sequence file ends in makes it read the bytes as they are.
-AS_IS = {"io.compression.codecs": "org.apache.hadoop.io.compress.DefaultCodec"}
+# Hadoop picks a decompressor by file name; this one hands on the bytes of
+# names ending in .gz as they are. Spark's bundled Hadoop client knows the
+# extension setting under a relocated name.
+AS_IS = {
+    "io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec",
+    "io.compress.passthrough.extension": GZIP,
+    "org.apache.hadoop.shaded.io.compress.passthrough.extension": GZIP,
+}
 
 
 def file_format(path: str) -> str:
