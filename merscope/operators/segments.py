@@ -27,9 +27,12 @@ def tile_sequences(reads: DataFrame, k: int, seq: str = "seq", tile: int | None
     Slicing bytes instead of characters keeps each cut O(tile) and is exact: a
     k-mer is pure ASCII, so a cut inside a wider character only yields bytes
     that end a segment anyway.
+
+    Sequences shorter than k pass through: filtering them here would have Spark
+    evaluate the sequence twice, and below any shuffle that feeds it.
     """
     tile = max(tile or TILE, k)
-    source = reads.select(F.col(seq).cast("binary").alias("raw")).where(F.length("raw") >= k)
+    source = reads.select(F.col(seq).cast("binary").alias("raw"))
     last = F.floor((F.length("raw") - k) / tile).cast("int")
     cuts = F.transform(
         F.sequence(F.lit(0), last),

@@ -83,35 +83,31 @@ class SplitText:
 def section_text(split, text, ends, bol, table) -> bytes:
     """Bases of consecutive slices of one split, each header replaced by N.
 
-    A header runs from ``>``, wherever it stands, to the end of its line.
+    A header runs from the first ``>`` of a line, wherever it stands, to the
+    end of that line. ``ends`` holds the slice borders within ``text``.
     """
-    starts = np.flatnonzero(bol)
-    kept = []
-    at = 0
-    if split.in_header:
-        # The line this section begins in is a header up to the next line.
-        following = starts[starts > 0] if not split.started else starts
-        split.started = True
-        if len(following) == 0:
-            return b""
-        at = ends[following[0]]
-        split.in_header = False
-        kept.append(b"N")
+    line = np.cumsum(bol)
+    line_stop = np.append(ends[:-1][bol], len(text))
     marks = np.flatnonzero(text == ord(">"))
-    for mark in marks:
-        if mark < at:
-            continue
-        kept.append(table[text[at:mark]].tobytes())
-        kept.append(b"N")
-        row = np.searchsorted(ends, mark, side="right") - 1
-        later = np.searchsorted(starts, row, side="right")
-        if later == len(starts):
-            split.in_header = True
-            split.started = True
-            return b"".join(kept)
-        at = ends[starts[later]]
-    kept.append(table[text[at:]].tobytes())
-    return b"".join(kept)
+    marked, first = np.unique(line[np.searchsorted(ends, marks, side="right") - 1], return_index=True)
+    begin = marks[first]
+    if split.in_header and not (split.started and bol[0]):
+        # The line at the start is a header, or the rest of one.
+        others = marked != line[0]
+        marked = np.append(line[0], marked[others])
+        begin = np.append(0, begin[others])
+    split.started = True
+    split.in_header = len(marked) > 0 and marked[-1] == line[-1]
+    stop = line_stop[marked]
+    begin, stop = begin[begin < stop], stop[begin < stop]
+    change = np.zeros(len(text) + 1, np.int8)
+    change[begin] = 1
+    change[stop] -= 1
+    kept = np.cumsum(change[:-1], dtype=np.int8) == 0
+    kept[begin] = True
+    letters_ = table[text]
+    letters_[begin] = ord("N")
+    return letters_[kept].tobytes()
 
 
 def split_pieces(k: int, tile: int):

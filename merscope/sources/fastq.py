@@ -17,20 +17,28 @@ def fastq_sequences(raw: DataFrame, value: str = "value") -> DataFrame:
     ``+name`` lines and CRLF need no special case, and a last record may end
     right after its bases. Records whose bases span several lines are refused.
     """
-    text = F.col(value)
-    two = F.substring_index(text, "\n", 2)
-    third = F.substring_index(F.substring_index(text, "\n", 3), "\n", -1)
+    # Cut first, decide after: the steps are kept apart so that Spark does not
+    # repeat the cutting in every condition.
+    cut = raw.select(
+        "file",
+        F.substring_index(value, "\n", 2).alias("two"),
+        F.substring_index(value, "\n", 3).alias("three"),
+        F.octet_length(value).alias("size"),
+    )
+    two, rest = F.col("two"), F.col("size") - F.octet_length("two")
     bases = F.rtrim(F.substring_index(two, "\n", -1), F.lit("\r"))
-    rest = F.octet_length(text) - F.octet_length(two)
-    plus = (rest > 0) & third.startswith("+")
-    cut_short = rest <= 1
+    third = F.substring(F.col("three").cast("binary"), F.octet_length("two") + F.lit(2), F.lit(1))
     message = F.concat(F.lit("FASTQ record without a '+' line after its bases in "), F.col("file"))
-    parts = raw.where(F.contains(text, F.lit("\n"))).select(
-        "file", bases.alias("bases"), plus.alias("plus"), (plus | cut_short).alias("sound")
+    one_line = ~F.contains(two, F.lit("\n"))
+    none = F.array().cast("array<string>")
+    found = (
+        F.when(one_line, none)
+        .when(third == F.lit(b"+"), F.array(bases))
+        .when(bases == "", none)
+        .when(rest <= 1, F.array(bases))
+        .otherwise(F.array(F.raise_error(message).cast("string")))
     )
-    parts = parts.where(F.col("plus") | (F.col("bases") != ""))
-    seq = F.when(F.col("sound"), F.col("bases")).otherwise(F.raise_error(message))
-    return parts.select("file", seq.alias("seq"))
+    return cut.select("file", F.explode(found).alias("seq"))
 
 
 def read_fastq(spark: SparkSession, paths: list[str], **options) -> DataFrame:

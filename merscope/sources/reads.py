@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from merscope.operators.segments import check_k
 from merscope.sources.fasta import read_fasta
 from merscope.sources.fastq import read_fastq
-from merscope.sources.spread import spread
+from merscope.sources.spread import GZIP, spread
 
 # The file name endings of each format; each may add .gz.
 SUFFIXES = {"fasta": (".fa", ".fasta"), "fastq": (".fq", ".fastq")}
-GZIP = ".gz"
 
 # Hadoop picks a decompressor by file name; this one hands on the bytes of
 # names ending in .gz as they are. Spark's bundled Hadoop client knows the
@@ -44,9 +43,9 @@ def read_sequences(
 
     Each path (a glob may be used) is parsed by its own suffix, unless
     ``format`` names one for all, e.g. for a directory. ``k`` is needed because
-    long FASTA records come as tiles that overlap by k-1 bases. Gzip files
-    arrive one per task and are dealt out over the cluster; ``compressed=False``
-    reads files that merely carry a ``.gz`` name.
+    long FASTA records come as tiles that overlap by k-1 bases. A gzip file is
+    read by one task, but its sequences are dealt out over the cluster;
+    ``compressed=False`` reads files that merely carry a ``.gz`` name.
     """
     check_k(k)
     paths = [paths] if isinstance(paths, str) else list(paths)

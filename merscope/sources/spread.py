@@ -1,18 +1,24 @@
-"""Spreading rows that arrive in too few input splits."""
+"""Spreading rows that arrive in too few or too uneven input splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+GZIP = ".gz"
+
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out over all cores, if it has fewer splits.
+    """Deal the rows of a scan out over the cluster, where its splits do not.
 
-    Meant for small files and for inputs that cannot be split, such as gzip.
-    Rows are dealt round-robin, so no value of theirs can make a partition
-    hot. A scan that already keeps the cluster busy is returned as it is.
+    That is when it has fewer splits than there are cores, and when it reads
+    gzip files: each of those is one split however large it is, and the work
+    per base comes after the scan. Rows are dealt round-robin, so no value of
+    theirs can make a partition hot. Any other scan is returned as it is.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if any(name.endswith(GZIP) for name in scan.inputFiles()):
+        return scan.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if scan.rdd.getNumPartitions() < cores:
+        return scan.repartition(cores)
+    return scan
