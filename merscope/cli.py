@@ -8,6 +8,7 @@ import time
 
 from pyspark.errors import AnalysisException
 
+from merscope.functions.hashing import MAX_LEVEL
 from merscope.plans.histogram import METHODS, kmer_histogram_from_files
 from merscope.plans.report import parameter_line, write_report
 from merscope.session import build_session
@@ -50,7 +51,9 @@ def main(argv: list[str] | None = None) -> int:
     print(parameters)
     spark = build_session(master=args.master)
     began = time.time()
-    print(time.ctime(began), flush=True)
+    print(time.ctime(began))
+    for name in args.i:
+        print(f"Processing {name} ...", flush=True)
     try:
         histogram = kmer_histogram_from_files(
             spark,
@@ -69,5 +72,8 @@ def main(argv: list[str] | None = None) -> int:
     ended = time.time()
     print(time.ctime(ended))
     print(f"Time taken ~ {ended - began:.0f} Sec")
+    if args.method == "sketch":
+        cells = (MAX_LEVEL + 1) * args.copies << args.r_exp
+        print(f"Sketch : at most {cells} cells over all executors")
     print(f'Output in "{args.o}"')
     return 0

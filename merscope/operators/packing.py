@@ -2,7 +2,7 @@
 
 Spark has no rolling-window expression over a string, so this one step runs as
 ``mapInArrow``. Per batch it is a fixed number of NumPy passes over the bytes;
-nothing is done per row and memory is bounded by ``STEP``.
+nothing is done per row and memory is bounded by ``STEP`` and ``ROWS``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ import pyarrow as pa
 
 from merscope.functions.bases import BASES, word_names, word_spans
 
-STEP = 1 << 16
+# Windows worked on at a time, so that the arrays stay in the CPU's cache, and
+# k-mers handed back to Spark at a time.
+STEP = 1 << 14
+ROWS = 1 << 17
 NOT_A_BASE = 4
 
 
@@ -89,6 +92,10 @@ def kmer_batches(k: int):
     names = word_names(k)
     table = base_codes()
 
+    def to_batch(parts):
+        words = [pa.array(np.concatenate(w)) for w in zip(*parts)]
+        return pa.RecordBatch.from_arrays(words, names)
+
     def pack(batches):
         for batch in batches:
             column = batch.column(0)
@@ -97,12 +104,18 @@ def kmer_batches(k: int):
             _, offsets, data = column.buffers()
             ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
             text = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+            done, rows = [], 0
             for at in range(0, len(text) - k + 1, STEP):
                 codes = table[text[at : at + STEP + k - 1]]
                 breaks = np.zeros(len(codes) + 1, np.int32)
                 np.cumsum(codes == NOT_A_BASE, out=breaks[1:])
-                whole = breaks[k:] == breaks[:-k]
-                words = [pa.array(w[whole]) for w in canonical_words(codes, k)]
-                yield pa.RecordBatch.from_arrays(words, names)
+                whole = np.flatnonzero(breaks[k:] == breaks[:-k])
+                done.append([w[whole] for w in canonical_words(codes, k)])
+                rows += len(whole)
+                if rows >= ROWS:
+                    yield to_batch(done)
+                    done, rows = [], 0
+            if rows:
+                yield to_batch(done)
 
     return pack

@@ -14,7 +14,7 @@ from merscope.sources.reads import read_sequences
 METHODS = ("sketch", "exact")
 
 # Part of the reads looked at to find the lowest level worth keeping.
-PROBE = 1 / 16
+PROBE = 1 / 8
 
 
 def kmer_cells(

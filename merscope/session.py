@@ -1,4 +1,4 @@
-"""Session settings used by the command line, the benchmark and the tests."""
+"""Session used by the command line, the benchmark and the tests."""
 
 from __future__ import annotations
 
@@ -6,15 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "merscope", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution; a cluster's own settings win."""
+    """A session with the given settings; all others stay the cluster's own."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
-        **conf,
-    }
-    for key, value in settings.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
