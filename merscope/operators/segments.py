@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merscope.functions.bases import NON_BASES, normalise
@@ -18,6 +18,25 @@ def check_k(k: int) -> int:
     return k
 
 
+def byte_slices(raw: Column, step: int, width: int, spare: int) -> Column:
+    """Array of the slices of ``raw`` that begin at every multiple of ``step``.
+
+    Slices are ``width`` bytes long; none begins in the last ``spare`` bytes. A
+    value no longer than ``width`` stays whole. The bytes are handed to the
+    inner function as a lambda variable: naming the column there would copy
+    the whole value once per slice.
+    """
+    last = F.floor((F.length(raw) - F.lit(spare + 1)) / F.lit(step)).cast("int")
+    starts = F.sequence(F.lit(0), last)
+    cuts = F.transform(
+        F.array(raw),
+        lambda all_: F.transform(
+            starts, lambda i: F.substring(all_, i * F.lit(step) + F.lit(1), F.lit(width))
+        ),
+    )
+    return F.when(F.length(raw) <= width, F.array(raw)).otherwise(F.flatten(cuts))
+
+
 def tile_sequences(reads: DataFrame, k: int, seq: str = "seq", tile: int | None = None) -> DataFrame:
     """Cut long sequences into binary tiles that overlap by k-1 bytes.
 
@@ -33,13 +52,7 @@ def tile_sequences(reads: DataFrame, k: int, seq: str = "seq", tile: int | None
     """
     tile = max(tile or TILE, k)
     source = reads.select(F.col(seq).cast("binary").alias("raw"))
-    last = F.floor((F.length("raw") - k) / tile).cast("int")
-    cuts = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.substring(F.col("raw"), i * tile + 1, F.lit(tile + k - 1)),
-    )
-    whole = F.length("raw") < tile + k
-    return source.select(F.explode(F.when(whole, F.array("raw")).otherwise(cuts)).alias("tile"))
+    return source.select(F.explode(byte_slices(F.col("raw"), tile, tile + k - 1, k - 1)).alias("tile"))
 
 
 def segments(reads: DataFrame, k: int = 1, seq: str = "seq") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merscope.functions.bases import BASES
-from merscope.operators.segments import TILE, check_k
+from merscope.operators.segments import TILE, byte_slices, check_k
 
 PIECE_SCHEMA = "file string, block bigint, piece bigint, seq string, head string"
 
@@ -33,12 +33,7 @@ def letters() -> np.ndarray:
 
 def line_slices(lines: DataFrame) -> DataFrame:
     """Cut very long lines into ordered slices; ``bol`` marks a line's first."""
-    raw = F.col("raw")
-    cuts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(raw) - 1) / SLICE).cast("int")),
-        lambda i: F.substring("raw", i * SLICE + 1, F.lit(SLICE)),
-    )
-    slices = F.when(F.length(raw) <= SLICE, F.array(raw)).otherwise(cuts)
+    slices = byte_slices(F.col("raw"), SLICE, SLICE, 0)
     return lines.select("file", "block", "shared", F.posexplode(slices).alias("at", "line")).select(
         "line", (F.col("at") == 0).alias("bol"), "file", "block", "shared"
     )
