@@ -14,8 +14,8 @@ from merscope.plans.report import parameter_line, write_report
 from merscope.session import build_session
 
 USAGE = (
-    "\nUsage: merscope  -k kmerlength -f freqs  -o outputfile "
-    "-i <.fa/.fa.gz/.fasta/.fasta.gz OR .fq/.fq.gz/.fastq/.fastq.gz file(s)>"
+    "Usage: python -m merscope -k LENGTH -f FREQUENCIES -o REPORT -i FILE [FILE ...]\n"
+    "FILE is FASTA (.fa, .fasta) or FASTQ (.fq, .fastq), each also with .gz; -h lists all options."
 )
 
 

@@ -37,7 +37,6 @@ def abundance_histogram(counts: DataFrame, n: int) -> DataFrame:
     return (
         rows.unionByName(zeros)
         .where(F.col("i") <= n)
-        .coalesce(1)
         .groupBy("i")
         .agg(F.sum("est").alias("est"))
     )

@@ -231,3 +231,16 @@ def test_file_column_names_the_input(spark, tmp_path):
     fasta = write(tmp_path / "a.fa", ">x\nACGT\n")
     files = {r["file"] for r in read_sequences(spark, [path, fasta], 2).collect()}
     assert {f.rsplit("/", 1)[1] for f in files} == {"a.fq", "a.fa"}
+
+
+def test_fastq_is_read_without_a_shuffle_once_it_fills_the_cores(spark, tmp_path, small_splits):
+    path = write(tmp_path / "a.fq", fastq(some_records(300)))
+    small_splits(2000)
+    plan = canonical_kmers(read_sequences(spark, path, 9), 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def test_one_gzip_file_is_dealt_out(spark, tmp_path):
+    (tmp_path / "a.fq.gz").write_bytes(gzip.compress(fastq(some_records(300)).encode()))
+    plan = read_sequences(spark, str(tmp_path / "a.fq.gz"), 9)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan

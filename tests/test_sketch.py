@@ -177,3 +177,15 @@ def test_the_input_is_read_once_per_pass(spark, tmp_path):
     assert "Join" not in sketch and "CartesianProduct" not in sketch
     weighted = sketch_cells(canonical_kmers(reads, 21), SMALL)
     assert plan_of(weighted).count("Exchange") == 1
+
+
+def test_one_kmer_holding_most_rows(spark):
+    """A hot k-mer saturates its cells; everything else is counted as before."""
+    hot = frame(spark, ["A" * 521] * 140)  # 70,000 + occurrences of one 21-mer
+    cells = kmer_cells(frame(spark, READS).unionByName(hot), 21, SMALL, min_level=0)
+    assert cells.agg(F.max("cnt")).first()[0] >= 140 * 501
+    assert cells.where(cell_value().isNull() & (F.col("cnt") >= 65535)).groupBy("copy").count().count() == 7
+    top = estimates(kmer_histogram(frame(spark, READS).unionByName(hot), 21, 3, r_exp=16))
+    truth = brute_histogram(brute_kmers(READS, 21), 3)
+    for want, est in zip(truth, top):
+        assert abs(est - want) <= 0.1 * want + 30
