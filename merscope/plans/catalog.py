@@ -391,7 +391,12 @@ def stream_histogram(spark, sf_dir):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     work = scratch_dir(spark)
     stream = start_sketch_stream(
-        derived.event_reads(events), f"{work}/state", f"{work}/progress", SMALL_K, SMALL
+        derived.event_reads(events),
+        f"{work}/state",
+        f"{work}/progress",
+        SMALL_K,
+        SMALL,
+        preaggregate=True,
     )
     stream.awaitTermination()
     return estimate.histogram_from_cells(stream_cells(spark, f"{work}/state"), SMALL, SMALL_N)

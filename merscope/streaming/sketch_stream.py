@@ -21,6 +21,7 @@ from merscope.plans.histogram import kmer_cells
 from merscope.sources.fasta import fasta_lines, fasta_sequences
 from merscope.sources.fastq import RECORD_START, fastq_sequences
 from merscope.sources.reads import SUFFIXES
+from merscope.sources.spread import spread
 
 STATE_SCHEMA = f"{CELL_SCHEMA}, batch bigint"
 
@@ -53,7 +54,7 @@ def start_sketch_stream(
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        reads = prepare(batch) if prepare else batch
+        reads = prepare(batch) if prepare else spread(batch)
         cells = kmer_cells(reads, k, params, min_level=min_level, preaggregate=preaggregate)
         if batch_id > 0:
             before = read_slot(batch.sparkSession, state, batch_id - 1)
