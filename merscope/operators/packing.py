@@ -7,6 +7,8 @@ nothing is done per row and memory is bounded by ``STEP`` and ``ROWS``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,41 +29,32 @@ def base_codes() -> np.ndarray:
     return table
 
 
+def joined(left: tuple, right: tuple) -> tuple:
+    """Windows of m+n bases from those of m and of n: ``(length, forward,
+    reverse complement)``, in the smallest integers that hold them."""
+    m, f, r = left
+    n, g, s = right
+    size = max(len(g) - m, 0)
+    kind = np.min_scalar_type((1 << 2 * (m + n)) - 1)
+    fwd = (f[:size].astype(kind) << 2 * n) | g[m : m + size]
+    rev = (s[m : m + size].astype(kind) << 2 * m) | r[:size]
+    return m + n, fwd, rev
+
+
 def packed_windows(codes: np.ndarray, lengths: set[int]) -> dict[int, tuple]:
     """For each length n: the packed n-base window at every position, forward
     and reverse-complemented.
 
-    Windows of 1, 2, 4, ... bases are joined pairwise, and any other length is
+    Windows of 1, 2, 4, ... bases are joined pairwise and any other length is
     put together from those, so the work per base grows with log n.
     """
-    fwd, rev, width = codes, 3 - codes, 1
+    powers = [(1, codes, 3 - codes)]
+    while 2 * powers[-1][0] <= max(lengths):
+        powers.append(joined(powers[-1], powers[-1]))
     found = {}
-    partial = {n: None for n in lengths}
-    while partial:
-        for n in list(partial):
-            if n & width:
-                wide_f, wide_r = fwd.astype(np.int64), rev.astype(np.int64)
-                if partial[n] is not None:
-                    have, f, r = partial[n]
-                    size = len(codes) - have - width + 1
-                    if size > 0:
-                        wide_f = (f[:size] << (2 * width)) | wide_f[have : have + size]
-                        wide_r = r[:size] | (wide_r[have : have + size] << (2 * have))
-                    else:
-                        wide_f = wide_r = np.empty(0, np.int64)
-                    partial[n] = (have + width, wide_f, wide_r)
-                else:
-                    partial[n] = (width, wide_f, wide_r)
-            if n < 2 * width:
-                found[n] = partial.pop(n)[1:]
-        size = len(codes) - 2 * width + 1
-        if partial:
-            size = max(size, 0)
-            room = np.min_scalar_type((1 << (4 * width)) - 1)
-            f, r = fwd.astype(room), rev.astype(room)
-            fwd = (f[:size] << (2 * width)) | f[width : width + size]
-            rev = r[:size] | (r[width : width + size] << (2 * width))
-            width *= 2
+    for n in lengths:
+        _, fwd, rev = reduce(joined, [p for p in powers if p[0] & n])
+        found[n] = (fwd.astype(np.int64), rev.astype(np.int64))
     return found
 
 
