@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merscope.llm import chat_format, decontamination, exact_dedup, sharding
+from merscope.llm import (
+    chat_format,
+    decontamination,
+    exact_dedup,
+    language_id,
+    license_scan,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +39,35 @@ def op1_decontamination(spark, sf_dir):
     return found.drop("text_hash", "hits")
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_sharding(spark, sf_dir):
     return sharding.document_shards(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query
 def op8_chat_format(spark, sf_dir):
     spoken = r"\### Assistant: </turn> ok"
@@ -45,3 +80,8 @@ def op8_chat_format(spark, sf_dir):
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
