@@ -8,7 +8,7 @@ sequences; each piece then looks its place up by its length and its rank.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +22,9 @@ from merscope.llm.scratch import saved
 from merscope.llm.tokens import CachedEncoder
 
 CAPACITY = 2048
-# Pieces longer than CAPACITY / SMALL are large and are grouped.
-SMALL = 6
-GROUPS = 24
+# Pieces longer than capacity / parts are large and go into that many groups.
+# Each pair is tried, on the counts alone, and the plan of fewest sequences kept.
+SCHEMES = ((3, 64), (4, 200), (6, 128))
 # Hash buckets that the ranks of one length are counted in.
 BUCKETS = 32
 
@@ -51,19 +51,19 @@ def equal_groups(counts: dict[int, int], groups: int) -> list[list[tuple[int, in
 
 def best_configuration(sizes: list[int], value: np.ndarray, capacity: int) -> np.ndarray:
     """How often to take each size so that the value in one sequence is greatest (a knapsack)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        for k, size in enumerate(sizes):
-            if size <= room and best[room - size] + value[k] > best[room] + 1e-12:
-                best[room], last[room] = best[room - size] + value[k], k
+    best = np.zeros(capacity + 1)
+    takes = np.zeros((len(sizes), capacity + 1), int)
+    for k, size in enumerate(sizes):
+        before = best.copy()
+        for n in range(1, capacity // size + 1):
+            offer = before[: -n * size] + n * value[k]
+            better = offer > best[n * size :] + 1e-12
+            best[n * size :][better] = offer[better]
+            takes[k, n * size :][better] = n
     taken, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            taken[last[room]] += 1
-            room -= sizes[last[room]]
+    for k in reversed(range(len(sizes))):
+        taken[k] = takes[k, room]
+        room -= sizes[k] * takes[k, room]
     return taken
 
 
@@ -98,8 +98,9 @@ class Plan:
         self.rank = dict.fromkeys(counts, 0)
         self.sequences = 0
         self.rows: list[tuple[int, int, int, int, int]] = []
-        # Open sequences by free room, as runs (first, count).
-        self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # Open sequences by free room, as runs (first, count); the rooms in order.
+        self.open: dict[int, list[tuple[int, int]]] = {}
+        self.rooms: list[int] = []
 
     def put(self, length: int, first: int, count: int, per_sequence: int, offset: int) -> None:
         """``per_sequence`` pieces of a length into each of ``count`` sequences, at ``offset``."""
@@ -107,6 +108,23 @@ class Plan:
         self.rank[length] += count * per_sequence
         self.left[length] -= count * per_sequence
 
+    def leave(self, room: int, first: int, count: int) -> None:
+        """A run of sequences with that much room is open."""
+        if room not in self.open:
+            insort(self.rooms, room)
+        self.open.setdefault(room, []).append((first, count))
+
+    def fullest(self, length: int) -> tuple[int, int, int] | None:
+        """Take a run ``(room, first, count)`` of the fullest sequences with room for a length."""
+        at = bisect_left(self.rooms, length)
+        if at == len(self.rooms):
+            return None
+        room = self.rooms[at]
+        first, count = self.open[room].pop()
+        if not self.open[room]:
+            del self.open[room], self.rooms[at]
+        return room, first, count
+
     def fill_configuration(self, groups: list[list[list[int]]], taken: np.ndarray, times: int) -> None:
         """Open ``times`` sequences of one configuration with actual pieces of its groups.
 
@@ -132,37 +150,28 @@ class Plan:
             for length in each:
                 self.put(length, first, run, 1, used)
                 used += length
-            self.open[self.capacity - used].append((first, run))
+            self.leave(self.capacity - used, first, run)
             times -= run
 
     def best_fit(self) -> None:
         """All that is left, longest first, each into the fullest sequence with room for it."""
         for length in sorted(self.left, reverse=True):
             while (n := self.left[length]) > 0:
-                room = min((r for r, runs in self.open.items() if r >= length and runs), default=None)
-                if room is None:
-                    room, per = self.capacity, self.capacity // length
-                    first, count = self.sequences, -(-n // per)
-                    self.sequences += count
-                else:
-                    first, count = self.open[room].pop()
-                    per = room // length
+                found = self.fullest(length)
+                if found is None:
+                    found = (self.capacity, self.sequences, -(-n // (self.capacity // length)))
+                    self.sequences += found[2]
+                room, first, count = found
+                per, offset = room // length, self.capacity - room
                 full = min(count, n // per)
-                offset = self.capacity - room
-                if full:
-                    self.put(length, first, full, per, offset)
-                    self.open[room - full_room(per, length)].append((first, full))
-                rest = self.left[length] if full < count else 0
-                if full < count and rest and rest < per:
-                    self.put(length, first + full, 1, rest, offset)
-                    self.open[room - full_room(rest, length)].append((first + full, 1))
-                    full += 1
-                if full < count:
-                    self.open[room].append((first + full, count - full))
-
-
-def full_room(pieces: int, length: int) -> int:
-    return pieces * length
+                runs = [(full, per), (1, n - full * per)] if full < count and n > full * per else [(full, per)]
+                for many, each in runs:
+                    if many:
+                        self.put(length, first, many, each, offset)
+                        self.leave(room - each * length, first, many)
+                        first, count = first + many, count - many
+                if count:
+                    self.leave(room, first, count)
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -174,10 +183,14 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     of the rounded ones, as they are no longer. What rounding leaves over and
     the small pieces follow by best fit.
     """
+    return min((linear_grouping(counts, capacity, *scheme) for scheme in SCHEMES), key=lambda p: p.sequences)
+
+
+def linear_grouping(counts: dict[int, int], capacity: int, parts: int, n_groups: int) -> Plan:
     plan = Plan(counts, capacity)
-    large = {s: n for s, n in counts.items() if capacity // SMALL < s < capacity and n}
+    large = {s: n for s, n in counts.items() if capacity // parts < s < capacity and n}
     if large:
-        groups = equal_groups(large, GROUPS)
+        groups = equal_groups(large, n_groups)
         sizes = [g[0][0] for g in groups]
         merged: list[list[list[int]]] = []
         distinct: list[int] = []

@@ -65,7 +65,7 @@ class CachedEncoder:
                 cut[chunk] = PIECES.findall(chunk.lower())
             else:
                 self.chunks[chunk] = self.direct(chunk)
-        self.encode_pieces(list({p for pieces in cut.values() for p in pieces} - self.pieces.keys()))
+        self.encode_pieces(list({p for pieces in cut.values() for p in pieces if p not in self.pieces}))
         for chunk, pieces in cut.items():
             self.chunks[chunk] = b"".join([self.pieces[p] for p in pieces])
 
@@ -77,7 +77,7 @@ class CachedEncoder:
         try:
             return b"".join([self.chunks[w] for w in words])
         except KeyError:
-            self.learn(set(words) - self.chunks.keys())
+            self.learn({w for w in words if w not in self.chunks})
             return b"".join([self.chunks[w] if w in self.chunks else self.relearn(w) for w in words])
 
     def relearn(self, chunk: str) -> bytes:

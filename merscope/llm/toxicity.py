@@ -200,8 +200,8 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         rest = words_of(text) - self.plain
-        self.learn(rest - self.telling.keys())
-        present = {f for w in rest & self.telling.keys() for f in self.telling[w]}
+        self.learn({w for w in rest if w not in self.telling})
+        present = {f for w in rest for f in self.telling.get(w, ())}
         return float(sigmoid(self.model.bias + sum(self.model.weights[f] for f in sorted(present))))
 
 
