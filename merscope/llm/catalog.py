@@ -14,6 +14,7 @@ from merscope.llm import (
     exact_dedup,
     language_id,
     license_scan,
+    ngram_join,
     packing,
     quality,
     sharding,
@@ -44,6 +45,11 @@ def op2_language_id(spark, sf_dir):
     return language_id.identify_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
