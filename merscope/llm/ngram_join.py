@@ -18,11 +18,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merscope.llm.batches import bound_batches
 from merscope.llm.components import components
 from merscope.llm.scratch import saved
-from merscope.llm.shingles import shingle_sets
+from merscope.llm.shingles import mix, shingle_sets
 
 # Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
@@ -59,13 +60,13 @@ def highest_level(n):
     return np.minimum(1 + spare(smallest), least_overlap(smallest))
 
 
+# As an object, since text would need a session when this module is imported.
+LEVELS = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("required", T.IntegerType())])
 FEATURES = "n bigint, sig_a bigint, sig_b bigint, head array<bigint>"
 
 
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id``, size and 128-bit signature of the shingle set, and the head of it in hash order."""
-    from merscope.llm.shingles import mix
-
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def choose_levels(n: int, at: np.ndarray, counts: np.ndarray) -> tuple[int, int]
     return best[1], best[2]
 
 
-@F.pandas_udf("struct<level:int,required:int>")
+@F.pandas_udf(LEVELS)
 def level_of(n: pd.Series, at: pd.Series, counts: pd.Series) -> pd.DataFrame:
     found = [choose_levels(*x) for x in zip(n, at, counts, strict=True)]
     return pd.DataFrame(found, columns=["level", "required"])
@@ -210,12 +211,12 @@ def possible(n_a: int, n_b: int, head_a: np.ndarray, head_b: np.ndarray) -> bool
     return shared + min(n_a - known_a, n_b - known_b) >= needed_overlap(n_a, n_b)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def heads_allow(n_a: pd.Series, n_b: pd.Series, head_a: pd.Series, head_b: pd.Series) -> pd.Series:
     return pd.Series([possible(*x) for x in zip(n_a, n_b, head_a, head_b, strict=True)], dtype=bool)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def sets_link(set_a: pd.Series, set_b: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(set_a, set_b, strict=True):

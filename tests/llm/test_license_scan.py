@@ -1,0 +1,78 @@
+import pytest
+from helpers import document, frame, messy, words
+
+from merscope.llm import license_scan as ls
+
+
+def brute_base(text):
+    w, places, labels = words(text), [], set()
+    for phrase, label in ls.BASE_PHRASES.items():
+        p = phrase.split()
+        for at in range(len(w) - len(p) + 1):
+            if w[at : at + len(p)] == p:
+                places.append(at)
+                labels.add(label)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+TEXTS = [
+    "Licensed under the Apache License, Version 2.0.",
+    "apache-license APACHE license apachelicense apache licenses",
+    "This work is licensed under the GNU General Public License, version 3.",
+    "Licensed under CC BY-NC 4.0. cc\nby, ccby; xcc by éapache license apache licenseé",
+    "Released under the MIT License. mit license mit license",
+    "MIT © Licençe",
+]
+
+
+@pytest.mark.parametrize("text", [*TEXTS, *(r[1] for r in messy())])
+def test_base_fields(text):
+    assert ls.Scanner(ls.TEMPLATES).scan(text)[:5] == brute_base(text)
+
+
+@pytest.mark.parametrize(
+    "markup, text, end",
+    [
+        ("a [b] c", "a c", 2),
+        ("a [b] c", "a b c", 3),
+        ("a [b] c", "a x c", None),
+        ("a [b c] d", "a b d", None),
+        ("a <1:2> b", "a b", None),
+        ("a <1:2> b", "a x b", 3),
+        ("a <1:2> b", "a x y b", 4),
+        ("a <1:2> b", "a x y z b", None),
+        ("a <0:2> b [c]", "a b c d", 3),
+        ("[a <1:2>] b", "b", 1),
+        ("a [b [c] d] e", "a b d e", 4),
+        ("a [b [c] d] e", "a e", 2),
+    ],
+)
+def test_automata(markup, text, end):
+    assert ls.compile_template("t", markup).match([w.encode() for w in text.split()], 0) == end
+
+
+def test_labels_and_scores(spark):
+    rows = [document(i, t) for i, t in enumerate(TEXTS)] + messy()
+    found = ls.scan_licenses(frame(spark, rows, clash=True)).collect()
+    assert len(found) == len(rows)
+    by = [tuple(r) for r in found]
+    assert [tuple(r[1:6]) for r in by] == [brute_base(t) for _, t, *_ in rows]
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in found[: len(TEXTS)]}
+    assert labels[0] == ("apache,apache-2.0", 1.0)
+    assert labels[1] == ("apache", 0.5)
+    assert labels[2] == ("gpl,gpl-3.0", 1.0)
+    assert labels[3][0] == "cc-by,cc-by-nc-4.0" and 0.5 < labels[3][1] < 1
+    assert labels[5] == ("", 0.0)
+    assert ls.scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_replaced_words_of_a_long_template():
+    text = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of {} and associated documentation"
+        " files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to"
+        " use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    )
+    scan = ls.Scanner(ls.TEMPLATES).scan
+    assert "mit-text" in scan(text.format("this software"))[5]
+    assert "mit-text" in scan(text.format("the fine tool named X"))[5]
+    assert "mit-text" not in scan(text.format("this software").replace("deal", "trade"))[5]
