@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LEVEL = 63
+REHASH = 117
 
 
 def level_of(h: Column) -> Column:
@@ -40,26 +41,37 @@ def xx_hash(words: list[str], copy: int, seed: int) -> Column:
 
 def xx_rehash(h: Column) -> Column:
     """32 bits that decide column and fingerprint, remixed from ``h``."""
-    return F.shiftrightunsigned(F.xxhash64(h, F.lit("u")), 32)
+    return F.shiftrightunsigned(F.xxhash64(h, F.lit(REHASH).cast("bigint")), 32)
 
 
-def hash_with_xx(kmers, words, copies, seed, min_level, keep) -> DataFrame:
-    """One row ``(copy, h, u)`` per copy whose level reaches ``min_level``.
+def skipped(copy: Column, h: Column, skip: dict[int, list[int]]) -> Column:
+    """Whether the hash falls on a level its copy leaves out."""
+    out = F.lit(False)
+    for c, levels in skip.items():
+        out = out | ((copy == c) & level_of(h).isin(levels))
+    return out
+
+
+def hash_with_xx(kmers, words, copies, seed, skip, keep) -> DataFrame:
+    """One row ``(copy, h, u)`` per copy, but for the levels in ``skip``.
 
     The level test is a plain filter over all copies, evaluated before rows
-    are multiplied: with a high ``min_level`` nearly every k-mer is dropped
-    without ever being exploded.
+    are multiplied: where the low levels are left out, nearly every k-mer is
+    dropped without ever being exploded.
     """
     hashes = [xx_hash(words, c, seed) for c in range(copies)]
-    if min_level is not None:
-        kmers = kmers.where(F.greatest(*[level_of(h) for h in hashes]) >= min_level)
+    if skip:
+        wanted = F.lit(False)
+        for c, h in enumerate(hashes):
+            wanted = wanted | ~level_of(h).isin(skip.get(c, []))
+        kmers = kmers.where(wanted)
     rows = kmers.select(F.posexplode(F.array(*hashes)).alias("copy", "h"), *keep)
-    if min_level is not None:
-        rows = rows.where(level_of(F.col("h")) >= min_level)
+    if skip:
+        rows = rows.where(~skipped(F.col("copy"), F.col("h"), skip))
     return rows.select("copy", "h", xx_rehash(F.col("h")).alias("u"), *keep)
 
 
-def hash_with_md5(kmers, words, copies, seed, min_level, keep) -> DataFrame:
+def hash_with_md5(kmers, words, copies, seed, skip, keep) -> DataFrame:
     """The same rows from the hex digits of ``md5(copy:kmer)``.
 
     ``h`` is hex digits 1-15 and ``u`` hex digits 17-24. The k-mer must be one
@@ -81,8 +93,8 @@ def hash_with_md5(kmers, words, copies, seed, min_level, keep) -> DataFrame:
         F.conv(F.substring("m", 17, 8), 16, 10).cast("bigint").alias("u"),
         *keep,
     )
-    if min_level is not None:
-        rows = rows.where(level_of(F.col("h")) >= min_level)
+    if skip:
+        rows = rows.where(~skipped(F.col("copy"), F.col("h"), skip))
     return rows
 
 

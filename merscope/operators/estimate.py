@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merscope.operators.exact import check_n
-from merscope.operators.sketch import SATURATED, SketchParams, cell_value
+from merscope.operators.sketch import MARK, SATURATED, SketchParams, cell_value
 
 
 def check_frequencies(n: int) -> int:
@@ -24,7 +24,8 @@ def check_frequencies(n: int) -> int:
 def level_histogram(cells: DataFrame, params: SketchParams, n: int) -> DataFrame:
     """``(copy, level, v, t)``: t cells of the level hold value v, for v in
     1..n; v = 0 counts the empty columns. Invalid cells and values above n
-    appear in no row but do occupy their column.
+    appear in no row but do occupy their column. A level marked full has no
+    empty column and no value.
 
     The values are bucketed before grouping, so a single pass over the cells
     gives both the occupancy and the value counts.
@@ -32,15 +33,23 @@ def level_histogram(cells: DataFrame, params: SketchParams, n: int) -> DataFrame
     check_frequencies(n)
     value = cell_value()
     bucket = F.when(value <= n, value).otherwise(F.lit(0).cast("bigint"))
-    counts = cells.groupBy("copy", "level", bucket.alias("v")).agg(F.count(F.lit(1)).alias("t"))
+    counts = cells.groupBy("copy", "level", bucket.alias("v")).agg(
+        F.count(F.lit(1)).alias("t"), F.max(F.col("col") == MARK).alias("full")
+    )
     valued = F.filter(F.col("parts"), lambda p: p["v"] > 0)
     empty = F.struct(
         F.lit(0).cast("bigint").alias("v"), (F.lit(params.columns) - F.col("occupied")).alias("t")
     )
+    none_empty = F.array(F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).cast("bigint").alias("t")))
+    rows = F.when(F.col("full"), none_empty).otherwise(F.concat(F.array(empty), valued))
     return (
         counts.groupBy("copy", "level")
-        .agg(F.sum("t").alias("occupied"), F.collect_list(F.struct("v", "t")).alias("parts"))
-        .select("copy", "level", F.inline(F.concat(F.array(empty), valued)))
+        .agg(
+            F.sum("t").alias("occupied"),
+            F.collect_list(F.struct("v", "t")).alias("parts"),
+            F.max("full").alias("full"),
+        )
+        .select("copy", "level", F.inline(rows))
     )
 
 
@@ -74,11 +83,16 @@ def f0_estimate(t: Column, level: Column, params: SketchParams) -> Column:
 
 
 def fj_estimate(t: Column, level: Column, f0: Column, params: SketchParams) -> Column:
-    """Distinct k-mers of one multiplicity, from t cells of that value."""
+    """Distinct k-mers of one multiplicity, from t cells of that value.
+
+    NULL where no column of the level is expected to be left alone, or the
+    result is beyond a BIGINT: nothing can be read from such a level.
+    """
     r = float(params.columns)
     scale = F.pow(F.lit(2.0), level + F.lit(1))
     untouched = F.pow(F.lit(1 - 1 / r), f0 / scale)
-    return F.ceil(scale * F.lit(r - 1) * (t / F.lit(r)) / untouched)
+    found = scale * F.lit(r - 1) * (t / F.lit(r)) / F.nullif(untouched, F.lit(0.0))
+    return F.ceil(F.when(found < 2.0**63, found))
 
 
 def middle(estimates: Column, copies: int) -> Column:

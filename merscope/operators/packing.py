@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 
+from merscope.functions.arrow import text_and_offsets
 from merscope.functions.bases import BASES, word_names, word_spans
 
 # Windows worked on at a time, so that the arrays stay in the CPU's cache, and
@@ -94,9 +95,7 @@ def kmer_batches(k: int):
             column = batch.column(0)
             if len(column) == 0:
                 continue
-            _, offsets, data = column.buffers()
-            ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-            text = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+            text, _ = text_and_offsets(column)
             done, rows = [], 0
             for at in range(0, len(text) - k + 1, STEP):
                 codes = table[text[at : at + STEP + k - 1]]

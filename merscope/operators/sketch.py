@@ -11,6 +11,7 @@ in the shuffle, spillable, and independent of the order of the input.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +27,8 @@ CELL_SCHEMA = "copy int, level int, col bigint, pos_min bigint, pos_max bigint,
 # counter would have saturated.
 SATURATED = 65535
 
-# Levels whose columns would each receive more than this many distinct k-mers
-# are not kept: see level_floor.
-CROWDED = 32
+# Column number of the row that marks a whole level as full: see full_levels.
+MARK = -1
 
 
 @dataclass(frozen=True)
@@ -57,15 +57,17 @@ class SketchParams:
 def hashed_kmers(
     kmers: DataFrame,
     params: SketchParams,
-    min_level: int | Column | None = None,
+    skip: list[tuple[int, int]] | None = None,
     weight: str | None = None,
 ) -> DataFrame:
-    """``(copy, level, col, pos[, weight])`` for every k-mer and copy."""
+    """``(copy, level, col, pos[, weight])`` for every k-mer and copy, but for
+    the pairs ``(copy, level)`` in ``skip``."""
     words = [c for c in kmers.columns if c != weight]
     keep = [weight] if weight else []
-    if isinstance(min_level, int):
-        min_level = F.lit(min_level) if min_level > 0 else None
-    rows = HASH_FAMILIES[params.hash](kmers, words, params.copies, params.seed, min_level, keep)
+    by_copy: dict[int, list[int]] = {}
+    for copy, level in skip or []:
+        by_copy.setdefault(copy, []).append(level)
+    rows = HASH_FAMILIES[params.hash](kmers, words, params.copies, params.seed, by_copy, keep)
     return rows.select(
         "copy",
         level_of(F.col("h")).alias("level"),
@@ -78,14 +80,15 @@ def hashed_kmers(
 def sketch_cells(
     kmers: DataFrame,
     params: SketchParams = SketchParams(),
-    min_level: int | Column | None = None,
+    full: list[tuple[int, int]] | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """Occupied cells of the sketch of ``kmers``.
 
     ``kmers`` holds one row per occurrence, or distinct k-mers with their
     counts in the column ``weight``. Copy, level and column are grouped as one
-    packed BIGINT, which keeps the aggregation buffers small.
+    packed BIGINT, which keeps the aggregation buffers small. The pairs
+    ``(copy, level)`` in ``full`` get a mark in place of their cells.
     """
     level_bits = MAX_LEVEL.bit_length()
     r_exp = params.r_exp
@@ -93,12 +96,12 @@ def sketch_cells(
     copy_level = F.shiftleft(F.col("copy").cast("bigint"), level_bits).bitwiseOR(F.col("level").cast("bigint"))
     packed = F.shiftleft(copy_level, r_exp).bitwiseOR(F.col("col"))
     cells = (
-        hashed_kmers(kmers, params, min_level, weight)
+        hashed_kmers(kmers, params, full, weight)
         .groupBy(packed.alias("cell"))
         .agg(F.min("pos").alias("pos_min"), F.max("pos").alias("pos_max"), hits.alias("cnt"))
     )
     cell = F.col("cell")
-    return cells.select(
+    unpacked = cells.select(
         F.shiftright(cell, r_exp + level_bits).cast("int").alias("copy"),
         F.shiftright(cell, r_exp).bitwiseAND(F.lit(MAX_LEVEL)).cast("int").alias("level"),
         cell.bitwiseAND(F.lit(params.columns - 1)).alias("col"),
@@ -106,10 +109,34 @@ def sketch_cells(
         "pos_max",
         "cnt",
     )
+    return unpacked.unionByName(marks(kmers.sparkSession, full)) if full else unpacked
+
+
+def marks(spark: SparkSession, full: list[tuple[int, int]]) -> DataFrame:
+    """A row for each full level: an invalid cell in the column ``MARK``."""
+    return spark.createDataFrame([(copy, level, MARK, 0, 1, 0) for copy, level in full], CELL_SCHEMA)
+
+
+def full_levels(cells: DataFrame, params: SketchParams) -> list[tuple[int, int]]:
+    """The pairs ``(copy, level)`` whose columns are all invalid.
+
+    A cell hit by two fingerprints stays invalid whatever is added, so a level
+    that is full in the sketch of a part is full in that of the whole: nothing
+    is empty or valid there and no estimate can be read from it. That is
+    counted, not estimated. At most copies * (MAX_LEVEL + 1) pairs.
+    """
+    marked = F.max(F.col("col") == MARK)
+    invalid = F.count_if((F.col("col") != MARK) & (F.col("pos_min") < F.col("pos_max")))
+    found = cells.groupBy("copy", "level").agg(marked.alias("marked"), invalid.alias("invalid"))
+    return [(r["copy"], r["level"]) for r in found.where(F.col("marked") | (F.col("invalid") == params.columns)).collect()]
 
 
 def merge_cells(*parts: DataFrame) -> DataFrame:
-    """Sketch of the bag union of the inputs of ``parts``."""
+    """Sketch of the bag union of the inputs of ``parts``.
+
+    A level that is marked full in any part is full in the union; its mark
+    is kept and stands above any cells of the level.
+    """
     union = parts[0].select(*CELL_COLUMNS)
     for part in parts[1:]:
         union = union.unionByName(part.select(*CELL_COLUMNS))
@@ -126,47 +153,26 @@ def cell_value(cnt: str = "cnt") -> Column:
     return F.when(valid, F.col(cnt))
 
 
-def level_floor(distinct: Column, params: SketchParams) -> Column:
-    """Lowest level worth keeping when at least ``distinct`` k-mers are known.
-
-    Level w receives distinct / 2^(w+1) k-mers on R columns. Where that is more
-    than CROWDED per column, a cell stays valid only if all of its k-mers share
-    a fingerprint, so nothing there is ever picked: F0 uses the level with half
-    of its columns empty (0.7 per column), f_i the one with most cells of value
-    i (about 1 per column), and the chance that a column with 32 expected
-    k-mers gets fewer than two is below 1e-12. A too small ``distinct`` only
-    keeps more levels than needed.
-    """
-    crowd = distinct.cast("double") / F.lit(float(CROWDED * params.columns))
-    level = F.ceil(F.log2(F.greatest(crowd, F.lit(1.0))) - F.lit(1)).cast("int")
-    return F.least(F.greatest(level, F.lit(0)), F.lit(MAX_LEVEL))
-
-
-def probe_level(kmers: DataFrame, params: SketchParams) -> Column:
-    """:func:`level_floor` of ``kmers`` as a scalar subquery.
+def save_sketch(cells: DataFrame, path: str, k: int, params: SketchParams) -> None:
+    """Write a sketch below ``path``; the newest one written counts.
 
-    Spark runs it ahead of the main query; its state is one HyperLogLog
-    register set per task. Give it a part of the k-mers to make it cheap: the
-    distinct k-mers of a part are never more than those of the whole.
+    Cells go to a folder of their own. The row that names it, with the
+    parameters, is added last, so a failure in between leaves what was there.
     """
-    words = [F.col(c) for c in kmers.columns]
-    distinct = F.approx_count_distinct(F.xxhash64(*words), 0.05) * F.lit(0.8)
-    return kmers.agg(level_floor(distinct, params).alias("level")).scalar()
-
-
-def save_sketch(cells: DataFrame, path: str, k: int, params: SketchParams) -> None:
-    """Write cells and the parameters they were made with below ``path``."""
     spark = cells.sparkSession
     check_k(k)
-    cells.select(*CELL_COLUMNS).write.mode("overwrite").parquet(f"{path}/cells")
-    spark.createDataFrame([{"k": k, **asdict(params)}]).coalesce(1).write.mode("overwrite").json(
-        f"{path}/params"
-    )
+    version = uuid.uuid4().hex
+    cells.select(*CELL_COLUMNS).write.parquet(f"{path}/cells/{version}")
+    named = spark.createDataFrame([{"k": k, **asdict(params), "version": version}]).withColumn("saved", F.current_timestamp())
+    named.coalesce(1).write.mode("append").json(f"{path}/params")
 
 
 def load_sketch(spark: SparkSession, path: str) -> tuple[DataFrame, int, SketchParams]:
-    """Cells, k and parameters of a saved sketch."""
-    schema = "k int, r_exp int, u_exp int, copies int, seed bigint, hash string"
-    saved = spark.read.schema(schema).json(f"{path}/params").first().asDict()
-    k = saved.pop("k")
-    return spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells"), k, SketchParams(**saved)
+    """Cells, k and parameters of the newest sketch saved below ``path``."""
+    schema = "k int, r_exp int, u_exp int, copies int, seed bigint, hash string, version string, saved timestamp"
+    newest = spark.read.schema(schema).json(f"{path}/params").orderBy(F.desc("saved")).first()
+    if newest is None:
+        raise ValueError(f"no finished sketch in {path}")
+    saved = newest.asDict()
+    k, version, _ = saved.pop("k"), saved.pop("version"), saved.pop("saved")
+    return spark.read.schema(CELL_SCHEMA).parquet(f"{path}/cells/{version}"), k, SketchParams(**saved)

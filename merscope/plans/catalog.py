@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def counted(reads: DataFrame, k: int) -> DataFrame:
 
 def small_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = derived.lineitem_reads(spark, sf_dir)
-    return kmer_cells(reads, SMALL_K, SMALL, min_level=0, preaggregate=True)
+    return kmer_cells(reads, SMALL_K, SMALL, preaggregate=True)
 
 
 def small_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,13 +242,13 @@ def sketch_cells(spark, sf_dir):
 @query
 def sketch_cells_by_occurrence(spark, sf_dir):
     """Cells fed one occurrence at a time instead of from counts."""
-    return kmer_cells(derived.lineitem_reads(spark, sf_dir), 21, SMALL, min_level=0)
+    return kmer_cells(derived.lineitem_reads(spark, sf_dir), 21, SMALL)
 
 
 @query
 def sketch_cells_merged(spark, sf_dir):
     """Two sketches of two sources, merged."""
-    orders = kmer_cells(derived.orders_reads(spark, sf_dir), SMALL_K, SMALL, min_level=0)
+    orders = kmer_cells(derived.orders_reads(spark, sf_dir), SMALL_K, SMALL)
     return sketch.merge_cells(small_cells(spark, sf_dir), orders)
 
 
@@ -302,12 +303,53 @@ def kmer_histogram_sketch_n1000(spark, sf_dir):
 
 @query
 def sketch_level_pruning(spark, sf_dir):
-    """A sketch that drops crowded levels reports what the full one does."""
+    """A sketch that leaves out levels proven full reports what all levels do."""
     reads = derived.lineitem_reads(spark, sf_dir)
-    cells = kmer_cells(reads, SMALL_K, CROWDED, min_level="auto", preaggregate=True)
+    part = reads.where(F.crc32("seq") % 2 == 0)
+    cells = kmer_cells(reads, SMALL_K, CROWDED, prove_with=part, preaggregate=True)
     return estimate.histogram_from_cells(cells, CROWDED, SMALL_N)
 
 
+@query
+def sketch_merged_unequal_sizes(spark, sf_dir):
+    """A large input with levels left out, merged with a small one with all."""
+    large = derived.lineitem_reads(spark, sf_dir)
+    cells = kmer_cells(large, SMALL_K, CROWDED, prove_with=large, preaggregate=True)
+    small = kmer_cells(derived.orders_reads(spark, sf_dir), SMALL_K, CROWDED)
+    return estimate.histogram_from_cells(sketch.merge_cells(cells, small), CROWDED, SMALL_N)
+
+
+@query
+def sketch_saturation(spark, sf_dir):
+    """2-mers, of which there are so few that cells reach the largest count."""
+    params = SketchParams(r_exp=8, hash="md5")
+    cells = kmer_cells(derived.lineitem_reads(spark, sf_dir), 2, params, preaggregate=True)
+    value = estimate.cell_value()
+    alone = F.col("pos_min") == F.col("pos_max")
+    return cells.groupBy("copy", "level").agg(
+        F.count(F.lit(1)).alias("occupied"),
+        F.count_if(alone & (F.col("cnt") >= sketch.SATURATED)).alias("saturated"),
+        F.count(value).alias("valid"),
+        F.coalesce(F.sum(value), F.lit(0)).alias("hits"),
+        F.max("cnt").alias("most"),
+    )
+
+
+@query
+def level_hash_xx(spark, sf_dir):
+    """As ``level_hash``, with the production hash."""
+    kmers = canonical_kmers(derived.lineitem_reads(spark, sf_dir), SMALL_K).distinct()
+    rows = sketch.hashed_kmers(kmers, SketchParams(r_exp=12))
+    return rows.groupBy("copy", "level").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query
+def sketch_cells_xx(spark, sf_dir):
+    """Cells of the production hash with a seed."""
+    params = SketchParams(r_exp=12, seed=5)
+    return kmer_cells(derived.lineitem_reads(spark, sf_dir), SMALL_K, params, preaggregate=True)
+
+
 @query
 def sketch_saved(spark, sf_dir):
     """A sketch written, read back and estimated."""
@@ -326,26 +368,27 @@ def kmer_histogram_sketch_xx(spark, sf_dir):
 # --- files and streams ----------------------------------------------------------
 
 
-def numbered_reads(spark, sf_dir):
+def numbered_reads(spark, sf_dir, where=None):
     rows = derived.table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
     )
+    rows = rows if where is None else rows.where(where)
     seq = derived.bases_of(derived.digest("", "l_partkey"), derived.digest("s", "l_suppkey"))
     name = F.concat_ws("/", "l_orderkey", "l_linenumber")
     return rows.select(name.alias("name"), seq.alias("seq"))
 
 
-def fastq_text(spark, sf_dir):
+def fastq_text(spark, sf_dir, where=None):
     """Records whose quality lines often begin with ``@`` or ``+``."""
     quality = F.translate(F.reverse("seq"), "ACGTN", "@+IA#")
     record = F.concat_ws("\n", F.concat(F.lit("@r"), "name"), "seq", F.lit("+"), quality)
-    return numbered_reads(spark, sf_dir).select(record)
+    return numbered_reads(spark, sf_dir, where).select(record)
 
 
-def fasta_text(spark, sf_dir):
+def fasta_text(spark, sf_dir, where=None):
     """Records wrapped at 24 bases; some headers hold a second ``>``."""
     wrapped = F.regexp_replace("seq", "(.{24})", "$1\n")
-    return numbered_reads(spark, sf_dir).select(
+    return numbered_reads(spark, sf_dir, where).select(
         F.concat_ws("\n", F.concat(F.lit(">r"), "name", F.lit(" from>to")), wrapped)
     )
 
@@ -383,12 +426,53 @@ def fasta_gzip_histogram(spark, sf_dir):
     )
 
 
+@contextmanager
+def small_file_splits(spark, size):
+    """Input splits of ``size`` bytes for the plans made inside."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, (size, 0)):
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@query
+def fasta_split_borders(spark, sf_dir):
+    """FASTA files cut into many input splits, so that k-mers cross borders."""
+    path = scratch_dir(spark)
+    fasta_text(spark, sf_dir).coalesce(1).write.text(path)
+    with small_file_splits(spark, 1 << 18):
+        counts = counted(read_sequences(spark, path, 11, format="fasta"), 11)
+        kept = scratch_dir(spark)
+        counts.write.parquet(kept)
+    return spark.read.parquet(kept)
+
+
+@query
+def file_suffix_mixed(spark, sf_dir):
+    """FASTA and FASTQ, plain and gzip, in one call, told apart by suffix."""
+    path = scratch_dir(spark)
+    paths = []
+    for kind, text, rest in (("fastq", fastq_text, 0), ("fasta", fasta_text, 1)):
+        for gz in (True, False):
+            part = F.col("l_orderkey") % 3 == rest
+            rows = text(spark, sf_dir, part if gz else ~part)
+            paths.append(f"{path}/reads.{kind}" + ".gz" * gz)
+            rows.write.text(paths[-1], compression="gzip" if gz else "none")
+    return counted(read_sequences(spark, paths, 11), 11)
+
+
 @query
 def stream_histogram(spark, sf_dir):
-    """The events table as a file stream, sketched batch by batch."""
-    name = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(name).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream of files, sketched batch by batch."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    inbox = scratch_dir(spark)
+    table.repartition(4, "event_id").write.parquet(inbox)
+    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     work = scratch_dir(spark)
     stream = start_sketch_stream(
         derived.event_reads(events),

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from merscope.operators.estimate import check_frequencies, histogram_from_cells
 from merscope.operators.exact import abundance_histogram, check_n, kmer_counts
 from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers
 from merscope.operators.segments import check_k
-from merscope.operators.sketch import SketchParams, probe_level, sketch_cells
+from merscope.operators.sketch import SketchParams, full_levels, sketch_cells
 from merscope.sources.reads import read_sequences
 
 METHODS = ("sketch", "exact")
 
-# Part of the reads looked at to find the lowest level worth keeping.
-PROBE = 1 / 8
-
 
 def kmer_cells(
     reads: DataFrame,
@@ -23,30 +20,32 @@ def kmer_cells(
     params: SketchParams = SketchParams(),
     *,
     seq: str = "seq",
-    min_level: int | str = "auto",
+    min_level: int = 0,
+    prove_with: DataFrame | None = None,
     preaggregate: bool = False,
 ) -> DataFrame:
     """Sketch cells of the canonical k-mers of ``reads``.
 
-    ``min_level="auto"`` first counts, roughly, the distinct k-mers of a part
-    of the reads and drops the levels that are too crowded to be picked. On a
-    large input that leaves a few k-mers in a million to shuffle. 0 keeps all
-    levels. ``preaggregate`` counts distinct k-mers before sketching; it pays
-    where each k-mer is seen many times and fits a shuffle.
+    ``prove_with`` is a part of the reads, e.g. a few of many files. It is
+    sketched first; levels it fills up altogether, which no estimate can come
+    from, are then left out for the whole and marked as full. Estimates, and
+    merges with any other sketch, are the same with and without it; on a large
+    input it leaves a few k-mers in a million to shuffle. ``min_level`` above
+    0 treats the levels below as full without proof. ``preaggregate`` counts
+    distinct k-mers before sketching; it pays where each k-mer is seen many
+    times and fits a shuffle.
     """
-    strings = params.hash == "md5"
-    expand = canonical_kmer_strings if strings else canonical_kmers
+    if not isinstance(min_level, int) or min_level < 0:
+        raise ValueError(f"min_level must be an integer >= 0, got {min_level!r}")
+    expand = canonical_kmer_strings if params.hash == "md5" else canonical_kmers
+    full = [(copy, level) for copy in range(params.copies) for level in range(min_level)]
+    if prove_with is not None:
+        part = sketch_cells(expand(prove_with, k, seq), params, full)
+        full = sorted({*full, *full_levels(part, params)})
     kmers = expand(reads, k, seq)
-    level: int | Column | None
-    if min_level == "auto":
-        level = probe_level(canonical_kmers(reads.sample(PROBE, seed=1), k, seq), params)
-    elif isinstance(min_level, int) and min_level >= 0:
-        level = min_level
-    else:
-        raise ValueError(f"min_level must be 'auto' or an integer >= 0, got {min_level!r}")
     if preaggregate:
-        return sketch_cells(kmer_counts(kmers), params, level, weight="cnt")
-    return sketch_cells(kmers, params, level)
+        return sketch_cells(kmer_counts(kmers), params, full, weight="cnt")
+    return sketch_cells(kmers, params, full)
 
 
 def kmer_histogram(
@@ -61,7 +60,8 @@ def kmer_histogram(
     copies: int = 7,
     seed: int = 0,
     hash: str = "xxhash64",
-    min_level: int | str = "auto",
+    min_level: int = 0,
+    prove_with: DataFrame | None = None,
     preaggregate: bool = False,
 ) -> DataFrame:
     """``histogram(i, est)`` ordered by i: F0 at i = 0, then f_1..f_n.
@@ -78,7 +78,7 @@ def kmer_histogram(
         check_frequencies(n)
         params = SketchParams(r_exp, u_exp, copies, seed, hash)
         cells = kmer_cells(
-            reads, k, params, seq=seq, min_level=min_level, preaggregate=preaggregate
+            reads, k, params, seq=seq, min_level=min_level, prove_with=prove_with, preaggregate=preaggregate
         )
         result = histogram_from_cells(cells, params, n)
     return result.coalesce(1).orderBy("i")
@@ -91,7 +91,14 @@ def kmer_histogram_from_files(
     n: int = 8,
     *,
     format: str | None = None,
+    prove_files: int = 0,
     **options,
 ) -> DataFrame:
-    """:func:`kmer_histogram` of FASTA/FASTQ files."""
+    """:func:`kmer_histogram` of FASTA/FASTQ files.
+
+    The first ``prove_files`` paths are the part of :func:`kmer_cells`'s
+    ``prove_with``: only they are read twice.
+    """
+    if prove_files and not isinstance(paths, str):
+        options["prove_with"] = read_sequences(spark, list(paths)[:prove_files], k, format)
     return kmer_histogram(read_sequences(spark, paths, k, format), k, n, **options)

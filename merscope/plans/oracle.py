@@ -6,6 +6,10 @@ LINEITEM = """
 SELECT translate(md5(l_partkey::VARCHAR) || md5('s' || l_suppkey::VARCHAR),
                  '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM lineitem"""
 
+LINEITEM_KEYED = """
+SELECT l_orderkey, translate(md5(l_partkey::VARCHAR) || md5('s' || l_suppkey::VARCHAR),
+                 '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM lineitem"""
+
 ORDERS = """
 SELECT translate(md5('c' || o_custkey::VARCHAR) || md5('o' || o_orderkey::VARCHAR),
                  '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM orders"""
@@ -69,16 +73,82 @@ hashed AS (SELECT copy, least(63, bit_count(~h & (h - 1)))::INTEGER AS level,
                   (u >> 13) & {(1 << r_exp) - 1} AS col, u & 8191 AS pos, cnt FROM halves)"""
 
 
-def cells(source: str, k: int, r_exp: int) -> str:
-    return f"""{hashes(source, k, r_exp)},
+# The five primes of the 64-bit xxHash, and Spark's seed.
+PRIMES = (
+    11400714785074694791,
+    14029467366897019727,
+    1609587929392839161,
+    9650029242287828579,
+    2870177450012600261,
+)
+SPARK_SEED = 42
+
+
+def times(a: str, b: int) -> str:
+    """Product modulo 2^64 of unsigned numbers."""
+    return f"(({a})::UHUGEINT * {b}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def rotated(a: str, n: int) -> str:
+    high = f"(({a})::UHUGEINT * {1 << n}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"({high} | (({a}) >> {64 - n}))"
+
+
+def plus(a: str, b: int) -> str:
+    return f"((({a})::UHUGEINT + {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def xx_step(name: str, source: str, seed: str, value: str, out: str) -> str:
+    """CTE ``name``: ``source`` and, as ``out``, the hash of a non-negative
+    BIGINT ``value`` chained to ``seed``."""
+    p1, p2, p3, p4, p5 = PRIMES
+    return f"""
+{name}_a AS (SELECT *, {rotated(times(f"({value})::UBIGINT", p2), 31)} AS q_, {plus(seed, (p5 + 8) % 2**64)} AS s_ FROM {source}),
+{name}_b AS (SELECT *, xor(s_, {times("q_", p1)}) AS r_ FROM {name}_a),
+{name}_c AS (SELECT *, {plus(times(rotated("r_", 27), p1), p4)} AS t_ FROM {name}_b),
+{name}_d AS (SELECT *, {times("xor(t_, t_ >> 33)", p2)} AS v_ FROM {name}_c),
+{name}_e AS (SELECT *, {times("xor(v_, v_ >> 29)", p3)} AS w_ FROM {name}_d),
+{name} AS (SELECT * EXCLUDE (q_, s_, r_, t_, v_, w_), xor(w_, w_ >> 32) AS {out} FROM {name}_e)"""
+
+
+def packed_word(start: int, stop: int) -> str:
+    """Two bits a base of ``kmer`` at ``[start, stop)``, first base highest."""
+    return " + ".join(
+        f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (stop - 1 - i)}" for i in range(start, stop)
+    )
+
+
+def xx_hashes(source: str, k: int, r_exp: int, seed: int = 0) -> str:
+    """As ``hashes``, with the production hash of packed k-mers of one word."""
+    number = f"({seed * 1_000_003} + copy)"
+    mask = (1 << r_exp) - 1
+    steps = [
+        f"""{counts(source, k)},
+packed AS (SELECT ({packed_word(0, k)})::BIGINT AS word, cnt FROM counts),
+copied AS (SELECT copy, word, cnt FROM packed, (SELECT unnest(range(0, 7))::INTEGER AS copy))""",
+        xx_step("seeded", "copied", f"{SPARK_SEED}::UBIGINT", number, "h0"),
+        xx_step("worded", "seeded", "h0", "word", "h1"),
+        "halved AS (SELECT copy, cnt, h1 >> 1 AS h FROM worded)",
+        xx_step("again", "halved", f"{SPARK_SEED}::UBIGINT", "h", "h2"),
+        xx_step("mixed", "again", "h2", "117", "h3"),
+        f"""hashed AS (
+  SELECT copy, least(63, bit_count((~(h::BIGINT)) & (h::BIGINT - 1)))::INTEGER AS level,
+         (((h3 >> 32)::BIGINT >> 13) & {mask})::BIGINT AS col, ((h3 >> 32)::BIGINT & 8191)::BIGINT AS pos, cnt
+  FROM mixed)""",
+    ]
+    return ",\n".join(s.strip() for s in steps)
+
+
+def cells(source: str, k: int, r_exp: int, hashed=None) -> str:
+    return f"""{(hashed or hashes)(source, k, r_exp)},
 cells AS (SELECT copy, level, col, min(pos)::BIGINT AS pos_min, max(pos)::BIGINT AS pos_max,
                  sum(cnt)::BIGINT AS cnt FROM hashed GROUP BY copy, level, col),
 vals AS (SELECT copy, level, CASE WHEN pos_min = pos_max AND cnt < 65535 THEN cnt END AS v
          FROM cells)"""
 
 
-def levels(source: str, k: int, r_exp: int, n: int) -> str:
-    return f"""{cells(source, k, r_exp)},
+def levels(source: str, k: int, r_exp: int, n: int, hashed=None) -> str:
+    return f"""{cells(source, k, r_exp, hashed)},
 levels AS (
   SELECT copy, level, 0::BIGINT AS v, ({1 << r_exp} - count(*))::BIGINT AS t
   FROM vals GROUP BY copy, level
@@ -86,9 +156,9 @@ levels AS (
   SELECT copy, level, v, count(*)::BIGINT FROM vals WHERE v <= {n} GROUP BY copy, level, v)"""
 
 
-def picks(source: str, k: int, r_exp: int, n: int) -> str:
+def picks(source: str, k: int, r_exp: int, n: int, hashed=None) -> str:
     half = 1 << (r_exp - 1)
-    return f"""{levels(source, k, r_exp, n)},
+    return f"""{levels(source, k, r_exp, n, hashed)},
 picks AS (
   SELECT * FROM (SELECT copy, v, level, t FROM levels WHERE v = 0 AND abs(t - {half}) < {half}
                  QUALIFY row_number() OVER (PARTITION BY copy ORDER BY abs(t - {half}), level) = 1)
@@ -97,9 +167,9 @@ picks AS (
                  QUALIFY row_number() OVER (PARTITION BY copy, v ORDER BY t DESC, level) = 1))"""
 
 
-def estimates(source: str, k: int, r_exp: int, n: int) -> str:
+def estimates(source: str, k: int, r_exp: int, n: int, hashed=None) -> str:
     r = f"{1 << r_exp}.0::DOUBLE"
-    return f"""{picks(source, k, r_exp, n)},
+    return f"""{picks(source, k, r_exp, n, hashed)},
 copies AS (SELECT unnest(range(0, 7))::INTEGER AS copy),
 f0 AS (SELECT copy, ceil(pow(2.0::DOUBLE, level + 1) * ln(t / ({r})) / ln(1 - 1 / ({r})))::BIGINT AS est
        FROM picks WHERE v = 0),
@@ -112,8 +182,8 @@ ests AS (
   FROM picks, mid WHERE v > 0)"""
 
 
-def sketch_histogram(source: str, k: int, r_exp: int, n: int) -> str:
-    return f"""WITH {estimates(source, k, r_exp, n)}
+def sketch_histogram(source: str, k: int, r_exp: int, n: int, hashed=None) -> str:
+    return f"""WITH {estimates(source, k, r_exp, n, hashed)}
 SELECT i::BIGINT AS i, list_sort(list(coalesce(est, 0)))[4]::BIGINT AS est
 FROM (SELECT unnest(range(0, {n} + 1)) AS i) CROSS JOIN copies
 LEFT JOIN ests USING (copy, i) GROUP BY i"""
@@ -134,6 +204,10 @@ SELECT symbol, cnt FROM known UNION ALL
 SELECT 'OTHER', (SELECT sum(strlen(text)) FROM documents)::BIGINT - sum(cnt)::BIGINT FROM known"""
 
 
+def seeded_hashes(source: str, k: int, r_exp: int) -> str:
+    return xx_hashes(source, k, r_exp, seed=5)
+
+
 def build() -> dict[str, str]:
     k, r, n = 11, 12, 8
     runs = "SELECT s AS segment, count(*)::BIGINT AS cnt FROM segs"
@@ -203,10 +277,28 @@ def build() -> dict[str, str]:
         "kmer_histogram_sketch_n1000": sketch_histogram(LINEITEM, k, r, 1000),
         "sketch_level_pruning": sketch_histogram(LINEITEM, k, 6, n),
         "sketch_saved": small_sketch,
+        "sketch_merged_unequal_sizes": sketch_histogram(both, k, 6, n),
+        "sketch_saturation": f"""WITH {cells(LINEITEM, 2, 8)}
+            SELECT copy, level, count(*)::BIGINT AS occupied,
+                   count(*) FILTER (pos_min = pos_max AND cnt >= 65535)::BIGINT AS saturated,
+                   count(v)::BIGINT AS valid, coalesce(sum(v), 0)::BIGINT AS hits, max(cnt)::BIGINT AS most
+            FROM cells JOIN (SELECT copy, level, col, CASE WHEN pos_min = pos_max AND cnt < 65535 THEN cnt END AS v
+                             FROM cells) USING (copy, level, col)
+            GROUP BY copy, level""",
+        "level_hash_xx": f"""WITH {xx_hashes(LINEITEM, k, r)}
+            SELECT copy, level, count(*)::BIGINT AS cnt FROM hashed GROUP BY copy, level""",
+        "sketch_cells_xx": f"WITH {cells(LINEITEM, k, r, seeded_hashes)} SELECT * FROM cells",
+        "kmer_histogram_sketch_xx": sketch_histogram(LINEITEM, 21, 19, n, xx_hashes),
         "fastq_read": f"SELECT seq, count(*)::BIGINT AS cnt FROM ({LINEITEM}) GROUP BY seq",
         "fastq_gzip_histogram": histogram(LINEITEM, 21, 8),
         "fasta_read": count_rows(LINEITEM, 11),
         "fasta_gzip_histogram": histogram(LINEITEM, 21, 8),
+        "fasta_split_borders": count_rows(LINEITEM, 11),
+        "file_suffix_mixed": f"""WITH sources AS (
+                SELECT seq, 'fastq' AS kind, l_orderkey % 3 = 0 AS gz FROM ({LINEITEM_KEYED})
+                UNION ALL SELECT seq, 'fasta', l_orderkey % 3 = 1 FROM ({LINEITEM_KEYED})),
+            {kmers("SELECT seq FROM sources", 11)}
+            SELECT kmer, count(*)::BIGINT AS cnt FROM kmers GROUP BY kmer""",
         "stream_histogram": sketch_histogram(EVENTS, k, r, n),
     }
 

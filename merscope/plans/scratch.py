@@ -11,8 +11,14 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the shared folder the session names for checkpoints.
 
-    Only a session without that setting, as in a local test, gets a path on
-    the local disk.
+    Only where driver and executors are one process may that setting be
+    missing; the path is then on the local disk. On a cluster each executor
+    would write to its own disk, so that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='merscope-')}/merscope-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="merscope-")
+    return f"{shared}/merscope-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ A record can be a whole chromosome and a file can hold one record, so a record
 is never gathered into a row. Each input split turns its lines into tiles that
 overlap by k-1 bases; only the k-mers that cross from one split into the next
 need rows from two tasks, and those are made from the first and last k-1 bases
-of the splits.
+of the splits, the only rows that are shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from merscope.functions.arrow import text_and_offsets
 from merscope.functions.bases import BASES
 from merscope.operators.segments import TILE, byte_slices, check_k
 
@@ -40,10 +41,13 @@ def line_slices(lines: DataFrame) -> DataFrame:
 
 
 class SplitText:
-    """Bases of one input split, cut into overlapping tiles as they arrive."""
+    """Bases of one input split, cut into overlapping tiles as they arrive.
 
-    def __init__(self, file, block, shared, k, tile):
-        self.file, self.block, self.shared = file, block, shared
+    With ``edges`` only its first and last k-1 bases are kept, as one row.
+    """
+
+    def __init__(self, file, block, edges, k, tile):
+        self.file, self.block, self.edges = file, block, edges
         self.overlap, self.tile = k - 1, tile
         self.in_header = block == 0
         self.started = False
@@ -56,6 +60,9 @@ class SplitText:
         if len(self.head) < self.overlap:
             self.head += text[: self.overlap - len(self.head)]
         self.length += len(text)
+        if self.edges:
+            self.pending = (self.pending + text)[-self.overlap :]
+            return
         self.pending += text
         at = 0
         while len(self.pending) - at >= self.tile + self.overlap:
@@ -64,11 +71,10 @@ class SplitText:
         self.pending = self.pending[at:]
 
     def finish(self):
-        if len(self.pending) > self.overlap:
+        if self.edges and self.length:
+            yield (self.file, self.block, None, self.pending.decode("ascii"), self.head.decode("ascii"))
+        elif not self.edges and len(self.pending) > self.overlap:
             yield self.row(self.pending)
-        if self.shared and self.overlap and self.length:
-            tail = self.pending[-self.overlap :]
-            yield (self.file, self.block, None, tail.decode("ascii"), self.head.decode("ascii"))
 
     def row(self, text: bytes):
         self.pieces += 1
@@ -105,8 +111,8 @@ def section_text(split, text, ends, bol, table) -> bytes:
     return letters_[kept].tobytes()
 
 
-def split_pieces(k: int, tile: int):
-    """``mapInArrow`` function from line slices to tiles and split edges."""
+def split_pieces(k: int, tile: int, edges: bool = False):
+    """``mapInArrow`` function from line slices to tiles, or to split edges."""
     names = ["file", "block", "piece", "seq", "head"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     table = letters()
@@ -121,10 +127,7 @@ def split_pieces(k: int, tile: int):
             size = batch.num_rows
             if size == 0:
                 continue
-            line = batch.column(0)
-            offsets = np.frombuffer(line.buffers()[1], np.int32)[line.offset : line.offset + size + 1]
-            data = np.frombuffer(line.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            ends = offsets - offsets[0]
+            data, ends = text_and_offsets(batch.column(0))
             bol = batch.column(1).to_numpy(zero_copy_only=False)
             files = batch.column(2).dictionary_encode()
             blocks = batch.column(3).to_numpy()
@@ -136,7 +139,7 @@ def split_pieces(k: int, tile: int):
                 if split is None or (split.file, split.block) != (file, block):
                     if split is not None:
                         rows.extend(split.finish())
-                    split = SplitText(file, block, batch.column(4)[first].as_py(), k, tile)
+                    split = SplitText(file, block, edges, k, tile)
                 text = data[ends[first] : ends[last]]
                 rows.extend(
                     split.add(section_text(split, text, ends[first : last + 1] - ends[first], bol[first:last], table))
@@ -151,24 +154,16 @@ def split_pieces(k: int, tile: int):
     return cut
 
 
-def join_splits(pieces: DataFrame, k: int) -> DataFrame:
-    """Turn each split's edge into the text around the border to the next one.
+def border_sequences(edges: DataFrame, k: int) -> DataFrame:
+    """The text around the border of each split to the next one.
 
     The last k-1 bases of a split followed by the next k-1 bases of the file
-    hold exactly the k-mers that cross this border first. Tiles pass through:
-    each is alone in its window group, and is dealt out over the cluster by
-    the same shuffle. Edges of one file form one group, a row per input split.
+    hold exactly the k-mers that cross this border first. Edges of one file
+    form one group, a row of 2(k-1) bases per input split.
     """
-    if k == 1:
-        return pieces.select("file", "seq")
-    edge = F.col("piece").isNull()
-    own_block = F.when(~edge, F.col("block"))
-    ahead = (
-        Window.partitionBy("file", own_block, "piece").orderBy("block").rowsBetween(1, max(1, k - 1))
-    )
+    ahead = Window.partitionBy(F.xxhash64("file"), "file").orderBy("block").rowsBetween(1, max(1, k - 1))
     following = F.substring(F.array_join(F.collect_list("head").over(ahead), ""), 1, k - 1)
-    seq = F.when(edge, F.concat("seq", following)).otherwise(F.col("seq"))
-    return pieces.select("file", seq.alias("seq"))
+    return edges.select("file", F.concat("seq", following).alias("seq"))
 
 
 def fasta_lines(raw: DataFrame) -> DataFrame:
@@ -183,10 +178,19 @@ def fasta_lines(raw: DataFrame) -> DataFrame:
 
 
 def fasta_sequences(lines: DataFrame, k: int, tile: int = TILE) -> DataFrame:
-    """``(file, seq)`` tiles of the records in :func:`fasta_lines`."""
+    """``(file, seq)`` tiles of the records in :func:`fasta_lines`.
+
+    Tiles stay where they are read. Files of several splits are read a second
+    time for the edges of their splits alone, which are all that is shuffled.
+    """
     check_k(k)
-    pieces = line_slices(lines).mapInArrow(split_pieces(k, max(tile, k)), PIECE_SCHEMA)
-    return join_splits(pieces, k)
+    tile = max(tile, k)
+    tiles = line_slices(lines).mapInArrow(split_pieces(k, tile), PIECE_SCHEMA).select("file", "seq")
+    if k == 1:
+        return tiles
+    shared = line_slices(lines.where("shared"))
+    edges = shared.mapInArrow(split_pieces(k, tile, edges=True), PIECE_SCHEMA)
+    return tiles.unionByName(border_sequences(edges, k))
 
 
 def read_fasta(spark: SparkSession, paths: list[str], k: int, **options) -> DataFrame:

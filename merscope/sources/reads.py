@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merscope.operators.segments import check_k
 from merscope.sources.fasta import read_fasta
 from merscope.sources.fastq import read_fastq
-from merscope.sources.spread import GZIP, spread
+from merscope.sources.spread import GZIP, GZIP_NAMES, OTHER_NAMES, spread, spread_gzip
 
 # The file name endings of each format; each may add .gz.
 SUFFIXES = {"fasta": (".fa", ".fasta"), "fastq": (".fq", ".fastq")}
@@ -43,9 +45,10 @@ def read_sequences(
 
     Each path (a glob may be used) is parsed by its own suffix, unless
     ``format`` names one for all, e.g. for a directory. ``k`` is needed because
-    long FASTA records come as tiles that overlap by k-1 bases. A gzip file is
-    read by one task, but its sequences are dealt out over the cluster;
-    ``compressed=False`` reads files that merely carry a ``.gz`` name.
+    long FASTA records come as tiles that overlap by k-1 bases. Gzip files,
+    read by one task each, are scanned apart and their sequences dealt out
+    over the cluster; the others stay in their splits. ``compressed=False``
+    reads files that merely carry a ``.gz`` name.
     """
     check_k(k)
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -59,11 +62,14 @@ def read_sequences(
         groups.setdefault(format or file_format(path), []).append(path)
     parts = []
     for kind, members in groups.items():
-        if kind == "fasta":
-            parts.append(read_fasta(spark, members, k, **options))
-        else:
-            parts.append(spread(read_fastq(spark, members, **options)))
-    reads = parts[0]
+        read = partial(read_fasta, k=k) if kind == "fasta" else read_fastq
+        for names in (OTHER_NAMES, GZIP_NAMES) if compressed else ("*",):
+            own = options | {"pathGlobFilter": names}
+            splits = spark.read.options(**own).text(members).rdd.getNumPartitions()
+            if splits:
+                found = read(spark, members, **own)
+                parts.append(spread_gzip(found) if names == GZIP_NAMES else spread(found, splits))
+    reads = parts[0] if parts else read_fastq(spark, paths, pathGlobFilter="")
     for part in parts[1:]:
         reads = reads.unionByName(part)
     return reads

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame
 
 GZIP = ".gz"
 
+# File names that end in .gz, and all others, as Hadoop globs.
+GZIP_NAMES = f"*{GZIP}"
+OTHER_NAMES = "{?,*[^z],*[^g]z,*[^.]gz}"
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out over the cluster, where its splits do not.
 
-    That is when it has fewer splits than there are cores, and when it reads
-    gzip files: each of those is one split however large it is, and the work
-    per base comes after the scan. Rows are dealt round-robin, so no value of
-    theirs can make a partition hot. Any other scan is returned as it is.
+def spread(scan: DataFrame, splits: int | None = None) -> DataFrame:
+    """Deal the rows of a scan out over the cluster if it has fewer splits than cores.
+
+    Rows are dealt round-robin, so no value of theirs can make a partition
+    hot. Any other scan is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan.rdd.getNumPartitions() if splits is None else splits
+    return scan.repartition(cores) if splits < cores else scan
+
+
+def spread_gzip(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of gzip files, each of which is one split however large.
+
+    The number of partitions follows from the bytes that arrive, by Spark's
+    advisory partition size; it is not tied to the number of files.
     """
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if any(name.endswith(GZIP) for name in scan.inputFiles()):
-        return scan.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores)
-    return scan
+    return scan.hint("rebalance")

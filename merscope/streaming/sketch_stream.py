@@ -10,6 +10,7 @@ whose size is bounded by its parameters, however long the stream runs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,30 @@ def read_slot(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
     return spark.read.schema(STATE_SCHEMA).parquet(slot(state, batch_id))
 
 
+def check_label(cells: DataFrame, batch_id: int) -> None:
+    """A slot must hold the batch it is read for; one without cells tells nothing."""
+    found = cells.agg(F.min("batch"), F.max("batch")).first()
+    if any(label is not None and label != batch_id for label in found):
+        raise ValueError(f"the state holds batch {found[1]} where batch {batch_id} was expected")
+
+
+def state_parameters(spark: SparkSession, state: str, k: int, params: SketchParams) -> None:
+    """Note beside the slots what they are sketches of; refuse anything else later.
+
+    Cells of another k, hash, seed or size would merge without a word.
+    """
+    now = {"k": k, **asdict(params)}
+    schema = "k int, r_exp int, u_exp int, copies int, seed bigint, hash string"
+    try:
+        noted = spark.read.schema(schema).json(f"{state}/params").first()
+    except AnalysisException:
+        noted = None
+    if noted is None:
+        spark.createDataFrame([now], schema).coalesce(1).write.mode("overwrite").json(f"{state}/params")
+    elif noted.asDict() != now:
+        raise ValueError(f"{state} holds a sketch of {noted.asDict()}, not of {now}")
+
+
 def start_sketch_stream(
     stream: DataFrame,
     state: str,
@@ -53,11 +78,14 @@ def start_sketch_stream(
     at its start is in; starting it again continues from there.
     """
 
+    state_parameters(stream.sparkSession, state, k, params)
+
     def update(batch: DataFrame, batch_id: int) -> None:
         reads = prepare(batch) if prepare else spread(batch)
         cells = kmer_cells(reads, k, params, min_level=min_level, preaggregate=preaggregate)
         if batch_id > 0:
             before = read_slot(batch.sparkSession, state, batch_id - 1)
+            check_label(before, batch_id - 1)
             cells = merge_cells(before, cells)
         labelled = cells.withColumn("batch", F.lit(batch_id).cast("bigint"))
         labelled.write.mode("overwrite").parquet(slot(state, batch_id))

@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -86,7 +87,8 @@ def test_entry_point(spark):
     assert [r["i"] for r in rows] == list(range(9)) and rows[0]["est"] > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"kmer_histogram_sketch_xx"}
+    # Training data queries that SQL cannot express have brute-force tests.
+    assert not {name for name in missing if not re.match(r"op\d+_|pipeline$", name)}
 
 
 def test_production_sketch_follows_the_exact_counts(spark):

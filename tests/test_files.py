@@ -244,3 +244,65 @@ def test_one_gzip_file_is_dealt_out(spark, tmp_path):
     (tmp_path / "a.fq.gz").write_bytes(gzip.compress(fastq(some_records(300)).encode()))
     plan = read_sequences(spark, str(tmp_path / "a.fq.gz"), 9)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in plan
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_files_stay_in_their_splits_beside_gzip(spark, tmp_path, small_splits):
+    reads = "".join(f"@r\n{'ACGT' * 20}\n+\n{'I' * 80}\n" for _ in range(400))
+    (tmp_path / "a.fq").write_text(reads)
+    with gzip.open(tmp_path / "b.fq.gz", "wt") as out:
+        out.write(reads)
+    small_splits(2000)
+    both = read_sequences(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq.gz")], 21)
+    plan = executed(both)
+    assert plan.count("FileScan") + plan.count("Scan text") >= 2 and plan.count("Exchange") == 1
+    assert "Exchange" not in executed(read_sequences(spark, str(tmp_path / "a.fq"), 21))
+    assert both.count() == 800
+
+
+def test_plain_and_gzip_files_in_one_folder(spark, tmp_path):
+    (tmp_path / "x.fq").mkdir()
+    (tmp_path / "x.fq" / "part-1.txt").write_text("@r\nACGT\n+\nIIII\n")
+    with gzip.open(tmp_path / "x.fq" / "part-2.txt.gz", "wt") as out:
+        out.write("@r\nTTTT\n+\nIIII\n")
+    found = read_sequences(spark, str(tmp_path / "x.fq"), 3)
+    assert sorted(r["seq"] for r in found.collect()) == ["ACGT", "TTTT"]
+
+
+@pytest.mark.parametrize("large", ["true", "false"])
+def test_only_edges_of_fasta_splits_are_shuffled(spark, tmp_path, small_splits, large):
+    rng = random.Random(4)
+    seq = "".join(rng.choices("ACGT", k=9000))
+    (tmp_path / "a.fa").write_text(">r\n" + "\n".join(seq[i : i + 60] for i in range(0, 9000, 60)) + "\n")
+    small_splits(700)
+    spark.conf.set("spark.sql.execution.arrow.useLargeVarTypes", large)
+    try:
+        found = read_sequences(spark, str(tmp_path / "a.fa"), 21)
+        plan = executed(found)
+        # Both parts of the union read the file; only the one with a window has an exchange.
+        tiles, edges = plan.split("Window", 1)[0], plan.split("Window", 1)[1]
+        assert plan.count("Exchange") == 1 and "Exchange" in edges and "Exchange" not in tiles
+        assert canonical_kmers(found, 21).count() == 9000 - 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.useLargeVarTypes")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from merscope.plans.scratch import scratch_dir
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    assert scratch_dir(Session(spark_master="local[4]")).startswith("/")
+    assert scratch_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y")).startswith("hdfs://x/y/")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch_dir(Session(spark_master=master))

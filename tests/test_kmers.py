@@ -108,3 +108,25 @@ def test_method_and_n_are_validated(spark):
         kmer_histogram(reads, 3, -1, method="exact")
     with pytest.raises(ValueError):
         kmer_histogram(reads, 3, 3, min_level=-2)
+
+
+@pytest.mark.parametrize("large", ["true", "false"])
+def test_arrow_types_do_not_matter(spark, large):
+    seqs = random_seqs(random.Random(8), 60, 1, 90)
+    name = "spark.sql.execution.arrow.useLargeVarTypes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, large)
+    try:
+        for k in (5, 33):
+            assert canonical_kmers(frame(spark, seqs), k).count() == sum(brute_kmers(seqs, k).values())
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_other_arrow_types_are_refused():
+    import pyarrow as pa
+
+    from merscope.functions.arrow import text_and_offsets
+
+    with pytest.raises(TypeError):
+        text_and_offsets(pa.array([1, 2]))

@@ -1,20 +1,21 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from conftest import brute_histogram, brute_kmers, estimates, frame, random_seqs
 from pyspark.sql import functions as F
 
 from merscope import kmer_histogram
-from merscope.operators.estimate import best_levels, cell_value, histogram_from_cells, level_histogram
+from merscope.operators.estimate import best_levels, cell_value, fj_estimate, histogram_from_cells, level_histogram
 from merscope.operators.kmers import canonical_kmers
 from merscope.operators.sketch import (
     CELL_COLUMNS,
     CELL_SCHEMA,
+    MARK,
     SketchParams,
-    level_floor,
+    full_levels,
     load_sketch,
     merge_cells,
-    probe_level,
     save_sketch,
     sketch_cells,
 )
@@ -55,7 +56,8 @@ def test_min_level_keeps_exactly_the_upper_levels(spark):
     full = rows(kmer_cells(reads, 15, SMALL, min_level=0))
     for params, all_rows in ((SMALL, full),):
         got = rows(kmer_cells(reads, 15, params, min_level=3))
-        assert got == [r for r in all_rows if r[1] >= 3]
+        assert [r for r in got if r[2] != MARK] == [r for r in all_rows if r[1] >= 3]
+        assert [r[:2] for r in got if r[2] == MARK] == [(c, level) for c in range(7) for level in range(3)]
 
 
 def test_cells_are_within_their_ranges(spark):
@@ -124,25 +126,57 @@ def test_large_sketch_is_close_to_the_truth(spark, k):
         assert abs(est - want) <= 0.1 * want + 30
 
 
-def test_pruned_levels_do_not_change_the_estimates(spark):
+def test_levels_proven_full_do_not_change_the_estimates(spark):
     seqs = random_seqs(random.Random(3), 2000, 100, 140)
     reads = frame(spark, seqs + seqs[:900] + seqs[:300])
+    part = frame(spark, seqs[:700])
     for r_exp in (5, 9, 14):
         params = SketchParams(r_exp=r_exp)
-        full = histogram_from_cells(kmer_cells(reads, 21, params, min_level=0), params, 5)
-        lowest = spark.range(1).select(probe_level(canonical_kmers(reads, 21), params)).first()[0]
-        assert (lowest > 0) == (r_exp < 14)
-        pruned = histogram_from_cells(kmer_cells(reads, 21, params), params, 5)
-        assert estimates(pruned.orderBy("i")) == estimates(full.orderBy("i"))
+        cells = kmer_cells(reads, 21, params)
+        proven = full_levels(kmer_cells(part, 21, params), params)
+        assert bool(proven) == (r_exp < 14)
+        assert set(proven) <= set(full_levels(cells, params))
+        marked = kmer_cells(reads, 21, params, prove_with=part)
+        assert sorted((r["copy"], r["level"]) for r in marked.where(F.col("col") == MARK).collect()) == sorted(proven)
+        assert marked.where(F.col("col") != MARK).count() == cells.count() - len(proven) * params.columns
+        want = estimates(histogram_from_cells(cells, params, 5).orderBy("i"))
+        assert estimates(histogram_from_cells(marked, params, 5).orderBy("i")) == want
+        assert full_levels(marked, params) and sorted(full_levels(marked, params)) == sorted(full_levels(cells, params)) if proven else True
+
+
+@pytest.mark.parametrize("sizes", [(2000, 4), (8000, 4), (300, 300)])
+def test_sketches_of_unequal_inputs_merge(spark, sizes):
+    """However levels were left out, the merged sketch is that of the union."""
+    rng = random.Random(sum(sizes))
+    large, small = (frame(spark, random_seqs(rng, n, length, length)) for n, length in zip(sizes, (300, 120)))
+    params = SketchParams(r_exp=8)
+    union = histogram_from_cells(kmer_cells(large.unionByName(small), 21, params), params, 3)
+    want = estimates(union.orderBy("i"))
+    truth = sizes[0] * 280 + sizes[1] * 100
+    assert abs(want[0] - truth) < 0.3 * truth
+    whole, proven = (kmer_cells(large, 21, params, prove_with=p) for p in (None, large))
+    for one in (whole, proven):
+        for other in (kmer_cells(small, 21, params), kmer_cells(small, 21, params, prove_with=small)):
+            for merged in (merge_cells(one, other), merge_cells(other, one)):
+                assert estimates(histogram_from_cells(merged, params, 3).orderBy("i")) == want
+
+
+def test_a_floor_without_proof_is_kept_by_a_merge(spark):
+    params = SketchParams(r_exp=8)
+    large, small = frame(spark, READS), frame(spark, READS[:3])
+    merged = merge_cells(kmer_cells(large, 21, params, min_level=4), kmer_cells(small, 21, params))
+    both = kmer_cells(large.unionByName(small), 21, params, min_level=4)
+    assert [estimates(histogram_from_cells(c, params, 3).orderBy("i")) for c in (merged, both)][0] == estimates(
+        histogram_from_cells(both, params, 3).orderBy("i")
+    )
 
 
-def test_level_floor(spark):
-    params = SketchParams(r_exp=10)
-    crowd = 32 * 1024
-    values = [(0, 0), (crowd, 0), (2 * crowd, 0), (2 * crowd + 1, 1), (4 * crowd, 1), (3 << 60, 46)]
-    frame_ = spark.createDataFrame([(v,) for v, _ in values], "d bigint")
-    got = [r[0] for r in frame_.select(level_floor(F.col("d"), params)).collect()]
-    assert got == [level for _, level in values]
+def test_no_estimate_from_a_level_without_room(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    params = SketchParams(r_exp=8)
+    rows_ = spark.createDataFrame([(1, 0, 10**9), (1, 0, 10**5), (3, 9, 1000)], "t bigint, level int, f0 bigint")
+    got = [r[0] for r in rows_.select(fj_estimate(F.col("t"), F.col("level"), F.col("f0"), params)).collect()]
+    assert got[:2] == [None, None] and got[2] > 0
 
 
 def test_save_and_load(spark, tmp_path):
@@ -153,6 +187,19 @@ def test_save_and_load(spark, tmp_path):
     assert (k, found) == (15, params) and rows(back) == rows(cells)
 
 
+def test_the_newest_finished_sketch_counts(spark, tmp_path):
+    path, params = str(tmp_path / "s"), SketchParams(r_exp=8)
+    with pytest.raises(AnalysisException):
+        load_sketch(spark, path)
+    for k in (15, 17):
+        save_sketch(kmer_cells(frame(spark, READS[:40]), k, params), path, k, params)
+    cells, k, _ = load_sketch(spark, path)
+    assert k == 17 and rows(cells) == rows(kmer_cells(frame(spark, READS[:40]), 17, params))
+    # Cells of a save that never came to its last step are not looked at.
+    kmer_cells(frame(spark, READS[:5]), 19, params).write.parquet(f"{path}/cells/unfinished")
+    assert load_sketch(spark, path)[1] == 17
+
+
 @pytest.mark.parametrize("bad", [dict(copies=4), dict(copies=0), dict(r_exp=25), dict(r_exp=0), dict(hash="crc")])
 def test_parameters_are_validated(bad):
     with pytest.raises(ValueError):

@@ -8,6 +8,8 @@ from merscope.operators.sketch import CELL_COLUMNS, SketchParams, merge_cells
 from merscope.plans.histogram import kmer_cells
 from merscope.sources.reads import read_sequences
 from merscope.streaming.sketch_stream import (
+    STATE_SCHEMA,
+    check_label,
     read_slot,
     slot,
     start_file_stream,
@@ -85,3 +87,21 @@ def test_any_streaming_frame_with_a_sequence_column(spark, tmp_path):
     query.awaitTermination()
     batch = kmer_cells(frame(spark, seqs), 33, PARAMS, min_level=0)
     assert rows(stream_cells(spark, str(tmp_path / "s"))) == rows(batch)
+
+
+def test_another_k_or_seed_is_refused(spark, tmp_path):
+    inbox, state, progress = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "progress")
+    write_files(inbox, "fastq", random_seqs(RNG, 20, 30, 60), 2)
+    start_file_stream(spark, str(inbox), "fastq", state, progress, 7, PARAMS).awaitTermination()
+    for k, params in ((9, PARAMS), (7, SketchParams(r_exp=8, seed=5))):
+        with pytest.raises(ValueError):
+            start_file_stream(spark, str(inbox), "fastq", state, progress, k, params)
+    start_file_stream(spark, str(inbox), "fastq", state, progress, 7, PARAMS).awaitTermination()
+
+
+def test_a_slot_of_another_batch_is_refused(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 1, 1, 1, 4)], STATE_SCHEMA)
+    check_label(cells, 4)
+    check_label(cells.where("false"), 9)
+    with pytest.raises(ValueError):
+        check_label(cells, 3)
