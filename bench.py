@@ -13,10 +13,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from merscope.operators.exact import distinct_kmers  # noqa: E402
+from merscope.operators.estimate import histogram_from_cells  # noqa: E402
+from merscope.operators.exact import distinct_kmers, kmer_counts  # noqa: E402
 from merscope.operators.kmers import canonical_kmers  # noqa: E402
 from merscope.plans import catalog  # noqa: E402
-from merscope.plans.histogram import kmer_histogram  # noqa: E402
+from merscope.operators.sketch import SketchParams, sketch_cells  # noqa: E402
+from merscope.plans.histogram import kmer_cells, kmer_histogram  # noqa: E402
 from merscope.session import build_session  # noqa: E402
 from merscope.sources.derived import lineitem_reads  # noqa: E402
 from merscope.sources.reads import read_sequences  # noqa: E402
@@ -25,6 +27,7 @@ from merscope.plans.scratch import scratch_dir  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = 2
+SEEDS = 10
 
 
 def queries(spark):
@@ -44,7 +47,7 @@ def queries(spark):
         "sketch_k21": lambda: kmer_histogram(reads, 21, 8),
         "sketch_k31": lambda: kmer_histogram(reads, 31, 8),
         "sketch_k33": lambda: kmer_histogram(reads, 33, 8),
-        "sketch_k21_all_levels": lambda: kmer_histogram(reads, 21, 8, min_level=0),
+        "sketch_k21_proven": lambda: kmer_histogram(reads, 21, 8, r_exp=12, prove_with=reads.where("crc32(seq) % 8 = 0")),
         "sketch_k11_small": lambda: kmer_histogram(reads, 11, 8, r_exp=12),
         "distinct_k21": lambda: distinct_kmers(canonical_kmers(reads, 21)),
         "fastq_k21": lambda: from_file("fastq", 21),
@@ -80,6 +83,15 @@ def main() -> None:
         errors[f"k{k}"] = {
             f"f{i}": round(abs(sketch[i] - exact[i]) / exact[i], 4) for i in (0, 1, 2) if exact[i]
         }
+    cells = {f"r{r}": kmer_cells(lineitem_reads(spark, SF_DIR), 21, SketchParams(r_exp=r)).count() for r in (12, 19)}
+    truth = dict(results["exact_k21"])
+    counts = kmer_counts(canonical_kmers(lineitem_reads(spark, SF_DIR), 21)).persist()
+    by_seed = []
+    for seed in range(SEEDS):
+        params = SketchParams(seed=seed)
+        found = histogram_from_cells(sketch_cells(counts, params, weight="cnt"), params, 8).collect()
+        by_seed.append({r["i"]: abs(r["est"] - truth[r["i"]]) / truth[r["i"]] for r in found if truth[r["i"]]})
+    over_seeds = {f"f{i}": round(sum(e[i] for e in by_seed) / SEEDS, 4) for i in by_seed[0]}
     print(
         json.dumps(
             {
@@ -94,6 +106,8 @@ def main() -> None:
                     for m in ("exact", "sketch")
                 },
                 "relative_error": errors,
+                "mean_error_over_seeds_k21": over_seeds,
+                "cells_k21": cells,
             }
         )
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+import threading
 import time
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 
@@ -29,10 +31,32 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--r-exp", type=int, default=19, help="log2 of the columns per level")
     p.add_argument("--copies", type=int, default=7, help="independent sketch copies (odd)")
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--prove-files", type=int, default=0, help="leading files to prove full sketch levels with")
     p.add_argument("--master", default=None, help="Spark master, if not set elsewhere")
     return p
 
 
+@contextmanager
+def progress(spark, every: float = 10.0):
+    """Print how far the running stages are, every so many seconds."""
+    ended = threading.Event()
+    tracker = spark.sparkContext.statusTracker()
+
+    def watch() -> None:
+        while not ended.wait(every):
+            for stage in tracker.getActiveStageIds():
+                if info := tracker.getStageInfo(stage):
+                    print(f"stage {stage}: {info.numCompletedTasks} of {info.numTasks} tasks done", file=sys.stderr, flush=True)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        watcher.join()
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     if not argv:
@@ -53,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     began = time.time()
     print(time.ctime(began))
     for name in args.i:
-        print(f"Processing {name} ...", flush=True)
+        print(f"input: {name}", flush=True)
     try:
         histogram = kmer_histogram_from_files(
             spark,
@@ -64,16 +88,18 @@ def main(argv: list[str] | None = None) -> int:
             r_exp=args.r_exp,
             copies=args.copies,
             seed=args.seed,
+            **({"prove_files": args.prove_files} if args.prove_files else {}),
         )
     except (ValueError, AnalysisException) as error:
         print(error, file=sys.stderr)
         return 1
-    write_report(histogram, args.o, args.k, parameters)
+    with progress(spark):
+        write_report(histogram, args.o, args.k, parameters)
     ended = time.time()
     print(time.ctime(ended))
-    print(f"Time taken ~ {ended - began:.0f} Sec")
+    print(f"finished after {ended - began:.0f} s")
     if args.method == "sketch":
         cells = (MAX_LEVEL + 1) * args.copies << args.r_exp
         print(f"Sketch : at most {cells} cells over all executors")
-    print(f'Output in "{args.o}"')
+    print(f"report written to {args.o}")
     return 0

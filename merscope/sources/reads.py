@@ -31,7 +31,7 @@ def file_format(path: str) -> str:
     for kind, endings in SUFFIXES.items():
         if name.endswith(endings):
             return kind
-    raise ValueError(f"Unknown file type for : {path}")
+    raise ValueError(f"cannot tell the format of {path} from its name")
 
 
 def read_sequences(

@@ -36,7 +36,7 @@ def test_report_file(spark, tmp_path, reads, capsys):
         *[f"f{i}\t{f[i]}" for i in range(1, 5)],
     ]
     printed = capsys.readouterr().out
-    assert "Time taken" in printed and str(out) in printed
+    assert "finished after" in printed and str(out) in printed
 
 
 def test_sketch_is_the_default_and_repeats(spark, tmp_path, reads):

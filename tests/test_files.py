@@ -61,7 +61,7 @@ def test_format_by_suffix(name, kind):
 
 @pytest.mark.parametrize("name", ["a.txt", "a.FA", "a.fq.bz2", "fa", "a.gz", "a.fa.gz.gz"])
 def test_unknown_suffix(spark, name):
-    with pytest.raises(ValueError, match="Unknown file type"):
+    with pytest.raises(ValueError, match="cannot tell the format"):
         read_sequences(spark, name, 3)
 
 
