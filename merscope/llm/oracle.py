@@ -31,20 +31,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+# The CRC-32 of four zero bits behind each value of four bits.
+CRC_NIBBLES = [v for v in range(16)]
+for _ in range(4):
+    CRC_NIBBLES = [(v >> 1) ^ (3988292384 if v & 1 else 0) for v in CRC_NIBBLES]
+
 # The square's side, the four rounds and the walk of the sharding permutation.
-ORACLE_SQL["op6_sharding"] = """
-WITH RECURSIVE bits(i, c) AS (SELECT range, range::UBIGINT FROM range(256)),
-crc0 AS (SELECT i, list_reduce([c] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
-    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM bits),
-crc AS (SELECT list(v ORDER BY i) AS t FROM crc0),
-doc AS (
-    SELECT doc_id, coalesce(text, '') AS text, (SELECT t FROM crc) AS t,
-        (strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents),
+ORACLE_SQL["op6_sharding"] = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, hex(coalesce(text, '')) AS h FROM documents),
 summed AS (
-    SELECT doc_id, size, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(
-        range(0, (size - 1)::BIGINT), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::UBIGINT),
-        lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)::BIGINT])))::BIGINT AS text_crc32
-    FROM (SELECT *, hex(text) AS h FROM doc)),
+    SELECT doc_id, size, CASE WHEN size = 1 THEN 0 ELSE xor(4294967295::UBIGINT, list_reduce(list_transform(
+        string_split(regexp_replace(h, '(.)(.)', '\\2\\1', 'g'), ''), lambda c: (instr('0123456789ABCDEF', c) - 1)::UBIGINT),
+        lambda a, b: xor(a >> 4, {CRC_NIBBLES}[1 + (xor(a, b) & 15)::BIGINT]), 4294967295::UBIGINT))::BIGINT END AS text_crc32
+    FROM doc),
 num AS (
     SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(doc_id::VARCHAR, 'null:' || text_crc32)), 1, 3),
         doc_id NULLS FIRST, text_crc32, size) - 1 AS x, count(*) OVER () AS n,
