@@ -12,7 +12,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Hang the larger neighbours of each node on the smallest of them."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,17 @@ def small_star(edges: DataFrame) -> DataFrame:
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def near_labels(pairs: DataFrame) -> DataFrame:
+    """``(node, component)`` after two steps of passing on the smallest label.
+
+    Nodes of one label are connected; connected nodes may differ. A hub and
+    its neighbours get one label, which is what most groups need.
+    """
+    both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    return both.join(least, "v").groupBy(F.col("u").alias("node")).agg(F.min("m").alias("component"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``(node, component)`` of each node in ``pairs`` ``(u, v)`` but the smallest of its component.
 

@@ -5,8 +5,8 @@ least l of the first ``prefix(n, l)`` shingles of each, for every l. A text
 whose prefix holds shingles that many texts share lengthens it until, of the
 l that have to match, fewer than l can be such hot ones; the others alone
 then find its partners, and at least so many have to match before a pair is
-verified. Texts made of hot shingles all through look for each other by the
-plain prefix.
+verified. Texts made of hot shingles all through are few; their whole sets are
+counted, and they look for each other by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merscope.llm.batches import bound_batches
-from merscope.llm.components import components
+from merscope.llm.components import components, near_labels
 from merscope.llm.scratch import saved
 from merscope.llm.shingles import mix, shingle_sets
 
@@ -121,8 +121,9 @@ def level_of(n: pd.Series, at: pd.Series, counts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["level", "required"])
 
 
-def index_entries(reps: DataFrame) -> DataFrame:
-    """The index: ``(token, rep, n, pos, level, required)``, level 0 for texts hot all through.
+def index_entries(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index ``(token, rep, n, pos, level, required)`` of shingles that are not
+    hot, and the ids of the texts hot all through, whose level is 0.
 
     Shingles that only one head has are dropped first, by a count combined
     before its shuffle; nearly all are. What is left is levelled by text.
@@ -135,31 +136,73 @@ def index_entries(reps: DataFrame) -> DataFrame:
         "rep", "n", "l.level", "l.required"
     )
     overlap = F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100)
-    own_prefix = F.col("n") - overlap + F.greatest("level", F.lit(1))
-    plain = F.col("cnt") < HOT
-    emitted = (plain & ((F.col("level") == 0) | (F.col("pos") < own_prefix))) | (
-        ~plain & (F.col("level") == 0) & (F.col("pos") < own_prefix)
-    )
-    return saved(known.join(levels, ["rep", "n"]).where(emitted).drop("cnt"))
+    own_prefix = F.col("n") - overlap + F.col("level")
+    emitted = (F.col("cnt") < HOT) & ((F.col("level") == 0) | (F.col("pos") < own_prefix))
+    placed = saved(known.join(levels, ["rep", "n"]))
+    hot_through = saved(placed.where("level = 0").select(F.col("rep").alias("doc_id")).distinct())
+    return placed.where(emitted).drop("cnt"), hot_through
+
+
+def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(token, rep, n, pos)`` of the plain prefixes of texts hot all through.
+
+    Their whole sets are ordered by how many of these texts have a shingle,
+    rarest first; ``pos`` is the place in that order. Shingles that one text
+    alone has take their places but make no entries.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
+            columns = [batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "tokens"])
+
+    texts = with_ids(docs, ids, "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(measure, f"rep {id_type}, n bigint, tokens array<bigint>")
+    posted = saved(sets.select("rep", "n", F.explode("tokens").alias("token")))
+    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    known = posted.join(shared, "token")
+    own = Window.partitionBy("rep", "n")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("cnt", "token")) - 1
+    overlap = F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100)
+    return saved(known.withColumn("pos", place).where(F.col("pos") <= F.col("n") - overlap).drop("cnt"))
 
 
 def can_link(n_a: Column, n_b: Column) -> Column:
     return (100 * F.least(n_a, n_b)) >= (PERCENT * F.greatest(n_a, n_b))
 
 
-def hub_pairs(entries: DataFrame) -> DataFrame:
-    """Each text with the smallest id of each of its lists: one pair an entry, however long the list."""
-    hubs = entries.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    pairs = entries.join(hubs, "token").where((F.col("rep") > F.col("hub.rep")) & can_link(F.col("n"), F.col("hub.n")))
-    return pairs.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+def room_for_overlap(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Whether two texts can link if their first shared shingle is at these places.
 
+    It holds for the first one of any pair that links, so a pair for which it
+    fails at each shared shingle cannot link.
+    """
+    needed = F.floor((F.lit(PERCENT) * (n_a + n_b) + 99 + PERCENT) / (100 + PERCENT))
+    return can_link(n_a, n_b) & (F.least(n_a - pos_a, n_b - pos_b) >= needed)
 
-def remaining_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """All candidates whose texts are not in one component yet.
+
+def hub_pairs(entries: DataFrame, by_place: bool = False) -> DataFrame:
+    """Each text with one text of each of its lists: one pair an entry, however long the list.
+
+    That is the text of the smallest id or, with ``by_place``, the one that has
+    the fewest rarer shingles: of a group of near copies the one with fewest changes.
+    """
+    fields = ("pos", "rep", "n") if by_place else ("rep", "n", "pos")
+    hubs = entries.groupBy("token").agg(F.min(F.struct(*fields)).alias("hub"))
+    able = room_for_overlap(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")) if by_place else can_link(F.col("n"), F.col("hub.n"))
+    pairs = entries.join(hubs, "token").where((F.col("rep") != F.col("hub.rep")) & able)
+    return pairs.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"))
+
+
+def open_pairs(entries: DataFrame, found: DataFrame, able: Column) -> DataFrame:
+    """All pairs of list mates that are ``able`` and not in one component yet.
 
     Lists whose texts all are in one component, as those of a group of near
     copies, are left out as a whole. In the others the texts outside the
-    list's largest component meet all texts of other components.
+    list's largest component meet all texts of other components. Columns of
+    the two sides end in ``_a`` and ``_b``.
     """
     parts = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = parts.withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -171,31 +214,37 @@ def remaining_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
         .select("token", F.col("top.comp").alias("major"))
     )
     open_lists = saved(own.join(mixed, "token"))
-    left = open_lists.where("comp <> major").select("token", *[F.col(c).alias(f"{c}_a") for c in ENTRY])
-    right = open_lists.select("token", "major", *[F.col(c).alias(f"{c}_b") for c in ENTRY])
-    level = F.when(F.col("level_a") == 0, F.col("level_b")).when(F.col("level_b") == 0, F.col("level_a")).otherwise(
-        F.least("level_a", "level_b")
-    )
-    required = F.when(level == 0, 1).when(F.col("level_a") == level, F.col("required_a")).otherwise(F.col("required_b"))
+    columns = [c for c in own.columns if c != "token"]
+    left = open_lists.where("comp <> major").select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = open_lists.select("token", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
+    once = (F.col("comp_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
+    return left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & once & able)
+
+
+def remaining_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates of the index that are still apart and match often enough at the pair's level."""
+    level_a, level_b = F.col("level_a"), F.col("level_b")
+    level = F.when(level_a == 0, level_b).when(level_b == 0, level_a).otherwise(F.least(level_a, level_b))
+    required = F.when(level_a == level, F.col("required_a")).otherwise(F.col("required_b"))
 
     def in_prefix(side: str) -> Column:
         n = F.col(f"n_{side}")
-        overlap = F.floor((F.lit(PERCENT) * n + 99) / 100)
-        return F.col(f"pos_{side}") < n - overlap + F.greatest(level, F.lit(1))
-
-    pairs = left.join(right, "token").where(
-        (F.col("comp_a") != F.col("comp_b"))
-        & ((F.col("comp_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b")))
-        & can_link(F.col("n_a"), F.col("n_b"))
-        & in_prefix("a")
-        & in_prefix("b")
-    )
-    counted = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), required.alias("required"))
+        return F.col(f"pos_{side}") < n - F.floor((F.lit(PERCENT) * n + 99) / 100) + level
+
+    able = can_link(F.col("n_a"), F.col("n_b")) & (level > 0) & in_prefix("a") & in_prefix("b")
+    counted = open_pairs(entries, found, able).select(*pair_columns(), required.alias("required"))
     matched = counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"), F.min("required").alias("required"))
     return matched.where("matches >= required").select("a", "b")
 
 
-ENTRY = ["rep", "n", "pos", "level", "required", "comp"]
+def remaining_dense_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Candidates among the texts hot all through that are still apart."""
+    able = room_for_overlap(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
+    return open_pairs(entries, found, able).select(*pair_columns())
+
+
+def pair_columns() -> list[Column]:
+    return [F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")]
 
 
 def needed_overlap(n_a, n_b):
@@ -245,7 +294,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 def with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on ``doc_id``: broadcast up to a bound, shuffled beyond it."""
     few = ids.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -258,7 +307,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     sets = full_sets(with_ids(docs, ids, "left_semi"))
     parts = [sets.select(F.col("rep").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab"]
     both = likely.join(parts[0], "a").join(parts[1], "b")
-    return saved(both.where(sets_link("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    return saved(both.where(sets_link("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
@@ -277,11 +326,13 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     linkable = measured.where("n > 0 AND doc_id IS NOT NULL")
     key = ["n", "sig_a", "sig_b"]
     reps = saved(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")))
-    entries = index_entries(reps)
     texts = docs.where(F.col("doc_id").isNotNull())
-    first = verified(hub_pairs(entries), reps, texts)
-    second = verified(remaining_pairs(entries, components(first)), reps, texts)
-    found = components(first.union(second))
+    entries, hot_through = index_entries(reps)
+    dense = dense_entries(texts, hot_through)
+    first = verified(hub_pairs(entries).union(hub_pairs(dense, by_place=True)).distinct(), reps, texts)
+    joined = saved(near_labels(first))
+    rest = remaining_pairs(entries, joined).union(remaining_dense_pairs(dense, joined)).distinct()
+    found = components(first.union(verified(rest, reps, texts)))
     classes = reps.drop("head").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = classes.select(*key, F.coalesce("component", "rep").alias("component_id"))
     return (
