@@ -121,6 +121,16 @@ def level_of(n: pd.Series, at: pd.Series, counts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["level", "required"])
 
 
+def shared_tokens(posted: DataFrame) -> DataFrame:
+    """``(token, cnt)`` of the shingles that more than one text has.
+
+    Written, as are the other tables with one row a list: a join with a plain
+    table is one that Spark splits where a list is long, or broadcasts when
+    the table is small; one with an aggregate in place is neither.
+    """
+    return saved(posted.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"))
+
+
 def index_entries(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index ``(token, rep, n, pos, level, required)`` of shingles that are not
     hot, and the ids of the texts hot all through, whose level is 0.
@@ -129,8 +139,7 @@ def index_entries(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     before its shuffle; nearly all are. What is left is levelled by text.
     """
     posted = reps.select("rep", "n", F.posexplode("head").alias("pos", "token"))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    known = saved(posted.join(shared, "token"))
+    known = saved(posted.join(shared_tokens(posted), "token"))
     by_text = known.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "cnt"))).alias("found"))
     levels = by_text.select("rep", "n", level_of(F.col("n"), F.col("found.pos"), F.col("found.cnt")).alias("l")).select(
         "rep", "n", "l.level", "l.required"
@@ -161,8 +170,7 @@ def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
     texts = with_ids(docs, ids, "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(measure, f"rep {id_type}, n bigint, tokens array<bigint>")
     posted = saved(sets.select("rep", "n", F.explode("tokens").alias("token")))
-    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    known = posted.join(shared, "token")
+    known = posted.join(shared_tokens(posted), "token")
     own = Window.partitionBy("rep", "n")
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("cnt", "token")) - 1
     overlap = F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100)
@@ -190,7 +198,7 @@ def hub_pairs(entries: DataFrame, by_place: bool = False) -> DataFrame:
     the fewest rarer shingles: of a group of near copies the one with fewest changes.
     """
     fields = ("pos", "rep", "n") if by_place else ("rep", "n", "pos")
-    hubs = entries.groupBy("token").agg(F.min(F.struct(*fields)).alias("hub"))
+    hubs = saved(entries.groupBy("token").agg(F.min(F.struct(*fields)).alias("hub")))
     able = room_for_overlap(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")) if by_place else can_link(F.col("n"), F.col("hub.n"))
     pairs = entries.join(hubs, "token").where((F.col("rep") != F.col("hub.rep")) & able)
     return pairs.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"))
@@ -205,9 +213,9 @@ def open_pairs(entries: DataFrame, found: DataFrame, able: Column) -> DataFrame:
     the two sides end in ``_a`` and ``_b``.
     """
     parts = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    own = parts.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    own = saved(parts.withColumn("comp", F.coalesce("component", "rep")).drop("component"))
     sizes = own.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("many"))
-    mixed = (
+    mixed = saved(
         sizes.groupBy("token")
         .agg(F.max(F.struct("many", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1")
