@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from merscope.llm.batches import bound_batches
 # Bounds of the sample that the dictionaries are made of.
 MOST_LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 128
-CHARS_PER_TEXT = 768
+CHARS_PER_TEXT, CHARS_PER_PIECE = 768, 128
 DICTIONARY_BYTES = 48 << 10
 
 LEVEL = 6
@@ -41,27 +42,56 @@ class Dictionaries:
     content: tuple[tuple[str, bytes], ...]
 
 
+def spread(text: str) -> str:
+    """``CHARS_PER_TEXT`` characters of a letters-only text, all of a shorter one.
+
+    The text is cut into equal stretches; each gives one piece, at a place
+    chosen by hash, so that no part of the text is out of reach.
+    """
+    plain = letters_only(text)
+    if len(plain) <= CHARS_PER_TEXT:
+        return plain
+    n, pieces = CHARS_PER_TEXT // CHARS_PER_PIECE, []
+    for i in range(n):
+        first, last = len(plain) * i // n, len(plain) * (i + 1) // n - CHARS_PER_PIECE
+        at = first + zlib.crc32(plain.encode("utf-8", "replace"), i) % (last - first + 1)
+        pieces.append(plain[at : at + CHARS_PER_PIECE])
+    return " ".join(pieces)
+
+
+def spread_text(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([spread(t) for t in texts], dtype="object")
+
+    return pieces(text)
+
+
 def fit_dictionaries(labelled: DataFrame) -> Dictionaries:
-    """Dictionaries from ``(key, text, lang)`` rows.
+    """Dictionaries from ``(text, lang)`` rows.
 
     Of each of the ``MOST_LANGUAGES`` most frequent languages, the
-    ``TEXTS_PER_LANGUAGE`` texts whose keys hash lowest give ``CHARS_PER_TEXT``
-    characters each: a bounded sample, the same on every run. Spark limits
-    each task to that many rows a language before anything is shuffled. Rows
-    with a null language or without letters are not used.
+    ``TEXTS_PER_LANGUAGE`` distinct texts that hash lowest give up to
+    ``CHARS_PER_TEXT`` characters each, from all over the text, until
+    ``DICTIONARY_BYTES`` are full: a bounded sample, the same on every run.
+    Copies of a text count once. Only hashes of texts and the drawn pieces are
+    shuffled. Rows with a null language or without letters are not used.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     common = [
         r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     ]
-    piece = F.substring("text", 1, CHARS_PER_TEXT).alias("piece")
-    drawn = rows.where(F.col("lang").isin(common)).select("lang", piece, F.xxhash64(F.col("key")).alias("draw"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece"))
-    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= TEXTS_PER_LANGUAGE).collect()
-    content = {lang: b"" for lang in common}
-    for row in sorted(sample, key=lambda r: r["rank"]):
-        content[row["lang"]] += letters_only(row["piece"]).encode() + b" "
-    return Dictionaries(tuple((lang, text[:DICTIONARY_BYTES]) for lang, text in content.items()))
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("draw")).where(F.col("lang").isin(common))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = hashed.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= TEXTS_PER_LANGUAGE)
+    last = drawn.groupBy("lang").agg(F.max("draw").alias("last"))
+    texts = hashed.join(F.broadcast(last), "lang").where(F.col("draw") <= F.col("last"))
+    sample = texts.select("lang", "draw", spread_text(F.col("text")).alias("piece")).groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
+    pieces = F.array_sort(F.collect_list(F.struct("draw", "piece")))["piece"]
+    content = F.substring(F.concat_ws(" ", pieces, F.lit("")).cast("binary"), 1, DICTIONARY_BYTES)
+    found = {r["lang"]: bytes(r["content"]) for r in sample.groupBy("lang").agg(content.alias("content")).collect()}
+    return Dictionaries(tuple((lang, found[lang]) for lang in common))
 
 
 class Sizer:
@@ -125,7 +155,7 @@ def held_out() -> Column:
 
 def learn(docs: DataFrame) -> Dictionaries:
     """Dictionaries from the documents that are not held out."""
-    return fit_dictionaries(docs.where(~held_out()).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return fit_dictionaries(docs.where(~held_out()).select("text", "lang"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -133,7 +163,8 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
     Dictionaries come from the rows that are not held out; a null id counts as
     not held out. Repeated rows give repeated rows, an empty table none; other
-    columns are not read. Nothing but the drawn sample is shuffled.
+    columns are not read. Nothing but hashes of the texts and the drawn sample is
+    shuffled.
     """
     bound_batches(docs.sparkSession)
     found = docs.select("doc_id", held_out().alias("held_out"), language_of(F.col("text"), learn(docs)).alias("found"))

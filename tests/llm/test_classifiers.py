@@ -51,6 +51,34 @@ def test_languages_of_messy_rows(spark):
     assert not {3, 4, 5, 7} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_dictionaries_reach_behind_shared_headers(spark):
+    rng = random.Random(3)
+    head = sentence(rng, "en", 250)
+    assert len(head) > 768
+    rows = [document(i, sentence(rng, "en", 60), "en") for i in range(200)]
+    rows += [document(1000 + i, f"{head} {sentence(rng, 'fr', 250)}", "fr") for i in range(200)]
+    rows += [document(2000 + i, f"{'17 ' * 400} {sentence(rng, 'de', 60)}", "de") for i in range(200)]
+    sizer = language_id.Sizer(language_id.learn(frame(spark, rows)))
+    for lang in TOPS:
+        assert np.mean([sizer.identify(sentence(rng, lang, 30))[0] == lang for _ in range(50)]) > 0.95
+    assert all(text.strip() for _, text in language_id.learn(frame(spark, rows)).content)
+
+
+def test_copies_do_not_fill_the_draw(spark):
+    texts = ["copy of the one text"] * 2000 + [f"rare{chr(97 + i)} words of its own" for i in range(20)]
+    found = dict(language_id.learn(frame(spark, [document(i, t) for i, t in enumerate(texts)])).content)
+    used = [t for i, t in enumerate(texts) if i >= 2000 and crc(i) % 4 != 2]
+    assert all(t.split()[0].encode() in found["en"] for t in used)
+    assert found["en"].count(b"copy of the one text") == 1
+
+
+def test_pieces_come_from_the_whole_text():
+    text = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500))
+    places = [text.index(p) for p in (language_id.spread(text)[i * 129 : i * 129 + 128] for i in range(6))]
+    assert all(len(text) * i // 6 <= at <= len(text) * (i + 1) // 6 - 128 for i, at in enumerate(places))
+    assert language_id.spread("1, Short 2") == "short"
+
+
 def test_narrow_margins_are_rejected():
     sizer = language_id.Sizer(language_id.Dictionaries((("a", b"alpha beta gamma " * 20), ("b", b"alpha beta gamma " * 20))))
     assert sizer.identify("alpha beta gamma delta") == ("a", 0.0, False)
