@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from merscope.llm.batches import bound_batches
 
 # Bounds of the sample that the dictionaries are made of.
-MOST_LANGUAGES = 256
 TEXTS_PER_LANGUAGE = 128
 CHARS_PER_TEXT, CHARS_PER_PIECE = 768, 128
 DICTIONARY_BYTES = 48 << 10
+# Languages whose compressors a task holds at a time.
+AT_ONCE = 64
 
 LEVEL = 6
 # A block this short would be stored as it is. It is compressed behind the
@@ -71,18 +73,15 @@ def spread_text(text: Column) -> Column:
 def fit_dictionaries(labelled: DataFrame) -> Dictionaries:
     """Dictionaries from ``(text, lang)`` rows.
 
-    Of each of the ``MOST_LANGUAGES`` most frequent languages, the
-    ``TEXTS_PER_LANGUAGE`` distinct texts that hash lowest give up to
+    Every language gets one. Its ``TEXTS_PER_LANGUAGE`` distinct texts that hash lowest give up to
     ``CHARS_PER_TEXT`` characters each, from all over the text, until
     ``DICTIONARY_BYTES`` are full: a bounded sample, the same on every run.
     Copies of a text count once. Only hashes of texts and the drawn pieces are
     shuffled. Rows with a null language or without letters are not used.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = [
-        r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    ]
-    hashed = rows.select("lang", "text", F.xxhash64("text").alias("draw")).where(F.col("lang").isin(common))
+    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("draw"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     drawn = hashed.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= TEXTS_PER_LANGUAGE)
     last = drawn.groupBy("lang").agg(F.max("draw").alias("last"))
@@ -91,7 +90,31 @@ def fit_dictionaries(labelled: DataFrame) -> Dictionaries:
     pieces = F.array_sort(F.collect_list(F.struct("draw", "piece")))["piece"]
     content = F.substring(F.concat_ws(" ", pieces, F.lit("")).cast("binary"), 1, DICTIONARY_BYTES)
     found = {r["lang"]: bytes(r["content"]) for r in sample.groupBy("lang").agg(content.alias("content")).collect()}
-    return Dictionaries(tuple((lang, found[lang]) for lang in common))
+    return Dictionaries(tuple((lang, found[lang]) for lang in languages))
+
+
+@dataclass
+class Smallest:
+    """The smallest and second smallest size of a text over the languages so far."""
+
+    best: int = -1
+    size: float = math.inf
+    second: float = math.inf
+
+    def add(self, sizes: list[int], first: int) -> None:
+        """Sizes under the languages from number ``first``; the earlier one wins a tie."""
+        for at, size in enumerate(sizes, first):
+            if size < self.size:
+                self.best, self.size, self.second = at, size, self.size
+            elif size < self.second:
+                self.second = size
+
+    def verdict(self, languages: list[str]) -> tuple[str, float, bool]:
+        """Language, score, and whether the margin is wide enough to accept it."""
+        if self.best < 0:
+            return UNDETERMINED, 0.0, False
+        margin = 1 - self.size / self.second
+        return languages[self.best], margin / (margin + 0.02), margin >= NARROW
 
 
 class Sizer:
@@ -117,16 +140,36 @@ class Sizer:
         blocks = [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.usual]
 
+    def add(self, text: str, found: Smallest, first: int = 0) -> None:
+        """The sizes of a letters-only text, if it has letters, to what is found."""
+        if any(map(str.isalpha, text)):
+            found.add(self.sizes(text.encode("utf-8", "replace")), first)
+
     def identify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the margin is wide enough to accept it."""
-        plain = letters_only(text or "")
-        if not self.languages or not any(map(str.isalpha, plain)):
-            return UNDETERMINED, 0.0, False
-        sizes = self.sizes(plain.encode("utf-8", "replace"))
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        rest = sizes[:best] + sizes[best + 1 :]
-        margin = 1 - sizes[best] / min(rest) if rest else 1.0
-        return self.languages[best], margin / (margin + 0.02), margin >= NARROW
+        found = Smallest()
+        self.add(letters_only(text or ""), found)
+        return found.verdict(self.languages)
+
+
+def identify_batches(batches: Iterator[pd.Series], dictionaries: Dictionaries, at_once: int = AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Each text under all dictionaries, with the compressors of ``at_once`` languages at a time.
+
+    More languages than that are taken in blocks over the texts of a batch;
+    only the two smallest sizes of each text are kept between blocks.
+    """
+    content = dictionaries.content
+    languages = [lang for lang, _ in content]
+    starts = range(0, len(content), at_once)
+    only = Sizer(dictionaries) if len(starts) == 1 else None
+    for texts in batches:
+        plain = [letters_only(t or "") for t in texts]
+        found = [Smallest() for _ in plain]
+        for first in starts:
+            sizer = only or Sizer(Dictionaries(content[first : first + at_once]))
+            for text, smallest in zip(plain, found, strict=True):
+                sizer.add(text, smallest, first)
+        yield pd.DataFrame([f.verdict(languages) for f in found], columns=["lang_pred", "score", "accepted"])
 
 
 def language_of(text: Column, dictionaries: Dictionaries) -> Column:
@@ -141,9 +184,7 @@ def language_of(text: Column, dictionaries: Dictionaries) -> Column:
 
     @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        sizer = Sizer(dictionaries)
-        for texts in batches:
-            yield pd.DataFrame([sizer.identify(t) for t in texts], columns=["lang_pred", "score", "accepted"])
+        yield from identify_batches(batches, dictionaries)
 
     return identify(text)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import crc, document, frame, messy
 
@@ -79,6 +80,36 @@ def test_pieces_come_from_the_whole_text():
     assert language_id.spread("1, Short 2") == "short"
 
 
+def tongue(rng, i):
+    """Words of a made-up language."""
+    own = random.Random(i)
+    words = ["".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)]
+    return " ".join(rng.choice(words) for _ in range(40))
+
+
+def test_every_language_is_learnt(spark):
+    rng = random.Random(9)
+    rows = [document(1000 * i + k, tongue(rng, i), f"l{i:03}") for i in range(300) for k in range(6)]
+    found = {r["doc_id"]: r for r in language_id.identify_documents(frame(spark, rows)).collect()}
+    learnt = {r[2] for r in rows if crc(r[0]) % 4 != 2}
+    assert len(learnt) > 295
+    known = [r for r in rows if r[2] in learnt]
+    assert all(found[r[0]]["lang_pred"] == r[2] and found[r[0]]["accepted"] for r in known)
+
+
+def test_blocks_of_languages_give_the_same():
+    rng = random.Random(2)
+    content = [(f"l{i}", tongue(rng, i).encode()) for i in range(7)]
+    content += [("tie", content[2][1])]
+    texts = [tongue(rng, i) for i in range(7)] + [tongue(rng, 1)[:60] + tongue(rng, 5), "zzz", "1", None, "long " * 9000]
+    dictionaries = language_id.Dictionaries(tuple(content))
+    whole = [language_id.Sizer(dictionaries).identify(t) for t in texts]
+    for at_once in (1, 2, 3, 8, 64):
+        found = list(language_id.identify_batches(iter([pd.Series(texts[:5]), pd.Series(texts[5:])]), dictionaries, at_once))
+        assert [tuple(r) for f in found for r in f.itertuples(index=False)] == whole
+    assert whole[2] == ("l2", 0.0, False)
+
+
 def test_narrow_margins_are_rejected():
     sizer = language_id.Sizer(language_id.Dictionaries((("a", b"alpha beta gamma " * 20), ("b", b"alpha beta gamma " * 20))))
     assert sizer.identify("alpha beta gamma delta") == ("a", 0.0, False)
