@@ -21,23 +21,71 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
+# Wording that two or more templates share.
+MIT_OPENING = (
+    "[copyright <1:12>] permission is hereby granted free of charge to any person obtaining a copy of"
+    " <1:8> and associated documentation files [the software] to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell"
+    " copies of the software"
+)
+BSD_OPENING = (
+    "redistribution and use in source and binary forms with or without modification are permitted"
+    " provided that the following conditions are met [1] redistributions of source code must retain the above"
+    " copyright notice this list of conditions and the following disclaimer"
+)
+BSD_BINARY = (
+    " [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+    " following disclaimer in the documentation and or other materials provided with the distribution"
+)
+BSD_WARRANTY = (
+    " this software is provided by <1:20> as is and any express or implied warranties including but not limited to"
+    " the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall"
+    " <1:20> be liable for any direct indirect incidental special exemplary or consequential damages including but not"
+    " limited to procurement of substitute goods or services loss of use data or profits or business interruption"
+    " however caused and on any theory of liability whether in contract strict liability or tort including negligence"
+    " or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+GPL_HEADER = (
+    " is free software you can redistribute it and or modify it under the terms of the gnu general public license as"
+    " published by the free software foundation either version {} of the license or at your option any later version"
+    " <1:12> is distributed in the hope that it will be useful but without any warranty without even the implied"
+    " warranty of merchantability or fitness for a particular purpose see the gnu general public license for more"
+    " details"
+)
+
 # License wording. Words in [ ] may be missing; <a:b> stands for
-# a to b words of any kind; all other wording has to match exactly.
+# a to b words of any kind; all other wording has to match exactly. Labels that
+# end in -license, -clause or -header stand for the whole wording of a license
+# or of its standard notice, those in -opening for its beginning whatever
+# follows, the others for a notice of one line.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0 [the license]",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in"
+    " compliance with the license you may obtain a copy of the license at [http] [https] [www] apache org licenses"
+    " license 2 0 [txt] [html] unless required by applicable law or agreed to in writing software distributed under"
+    " the license is distributed on an as is basis without warranties or conditions of any kind either express or"
+    " implied see the license for the specific language governing permissions and limitations under the license",
     "cc-by-4.0": "licensed under [a] [creative commons] [attribution] cc by 4 0 [international] [license]",
     "cc-by-nc-4.0": "licensed under [a] [creative commons] cc by nc 4 0 [international] [license]",
     "cc-by-sa-4.0": "licensed under [a] [creative commons] cc by sa 4 0 [international] [license]",
     "gpl-2.0": "licensed under the [terms of the] gnu general public license version 2 [only] [or later]",
+    "gpl-2.0-header": "program" + GPL_HEADER.format(2),
     "gpl-3.0": "licensed under the [terms of the] gnu general public license version 3 [only] [or later]",
+    "gpl-3.0-header": "program" + GPL_HEADER.format(3),
     "mit-notice": "released under the [terms of the] mit license",
-    "mit-text": "[copyright <1:12>] permission is hereby granted free of charge to any person obtaining a copy of"
-    " <1:8> and associated documentation files [the software] to deal in the software without restriction"
-    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell"
-    " copies of the software",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted"
-    " provided that the following conditions are met [1] redistributions of source code must retain the above"
-    " copyright notice this list of conditions and the following disclaimer",
+    "mit-text-opening": MIT_OPENING,
+    "mit-license": MIT_OPENING + " and to permit persons to whom the software is furnished to do so subject to the"
+    " following conditions the above copyright notice and this permission notice [including the next paragraph] shall"
+    " be included in all copies or substantial portions of the software the software is provided as is without"
+    " warranty of any kind express or implied including but not limited to the warranties of merchantability fitness"
+    " for a particular purpose and noninfringement in no event shall <1:20> be liable for any claim damages or other"
+    " liability whether in an action of contract tort or otherwise arising from out of or in connection with the"
+    " software or the use or other dealings in the software",
+    "bsd-text-opening": BSD_OPENING,
+    "bsd-2-clause": BSD_OPENING + BSD_BINARY + BSD_WARRANTY,
+    "bsd-3-clause": BSD_OPENING + BSD_BINARY + " [3] neither the name of <1:20> nor the names of <1:8> contributors may"
+    " be used to endorse or promote products derived from this software without specific prior written permission"
+    + BSD_WARRANTY,
 }
 
 MARKUP = re.compile(r"\[|\]|<(\d+):(\d+)>|[^\s\[\]<>]+")
@@ -198,7 +246,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     A template is accepted where its automaton takes a run of words: all
     mandatory wording exactly, optional regions or nothing, replaceable ones
-    by any words. ``score`` is 0 without labels; else from 0.5, when no base
+    by any words. An opening or a notice of one line says nothing of what
+    follows it. ``score`` is 0 without labels; else from 0.5, when no base
     phrase is part of an accepted run, to 1, when all are. Null text is empty:
     no words, no labels. Repeated rows give repeated rows, an empty table
     none; other columns are not read. Nothing is shuffled.

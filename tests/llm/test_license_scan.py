@@ -76,3 +76,68 @@ def test_replaced_words_of_a_long_template():
     assert "mit-text" in scan(text.format("this software"))[5]
     assert "mit-text" in scan(text.format("the fine tool named X"))[5]
     assert "mit-text" not in scan(text.format("this software").replace("deal", "trade"))[5]
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+KEEP = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+ADS = "3. All advertising materials must display an acknowledgement. 4."
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (MIT, "mit-license,mit-text-opening"),
+        (MIT.replace(KEEP, KEEP + " The Software shall be used for Good, not Evil."), "mit-text-opening"),
+        (MIT.replace(KEEP, ""), "mit-text-opening"),
+        (MIT.replace("DAMAGES OR OTHER", "OTHER"), "mit-text-opening"),
+        (MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME INC"), "mit-license,mit-text-opening"),
+        (BSD.format(""), "bsd-2-clause,bsd-text-opening"),
+        (BSD.format(NAMES), "bsd-3-clause,bsd-text-opening"),
+        (BSD.format(ADS + NAMES[2:]), "bsd-text-opening"),
+        (BSD.format(NAMES).replace("prior written", "prior"), "bsd-text-opening"),
+        (BSD.format("").replace("DISCLAIMED", "GRANTED"), "bsd-text-opening"),
+        (GPL.format(2), "gpl,gpl-2.0-header"),
+        (GPL.format(3), "gpl,gpl-3.0-header"),
+        (GPL.format(3).replace("WITHOUT ANY", "WITH A"), "gpl"),
+        (APACHE, "apache,apache-2.0,apache-2.0-header"),
+        (APACHE.replace("express or implied", "express"), "apache,apache-2.0"),
+    ],
+)
+def test_wording_altered_after_the_opening_is_refused(text, labels):
+    assert ls.Scanner(ls.TEMPLATES).scan(text)[5] == labels
