@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import crc, document, frame, messy
+from pyspark.sql import functions as F
 
-from merscope.llm import language_id, quality, toxicity
+from merscope.llm import language_id, quality, samples, toxicity
 
 TOPS = {"en": "the and with this there where river stone", "de": "der und nicht werden straße fluss stein über", "fr": "les dans avec être rivière pierre où même"}
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -189,3 +190,13 @@ def test_views_teach_each_other():
     label = np.where(np.arange(800) < 60, good, -1)
     model = quality.co_train(content, metadata, label)
     assert np.mean((model.score(content, metadata) >= 0.5) == good) > 0.97
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    docs = frame(spark, [document(1, f"text {i % 3}") for i in range(300)] + [document(i, None) for i in range(2, 30)])
+    drawn = samples.lowest_hashes(docs.select("doc_id"), 20, "salt")
+    assert len({r["doc_id"] for r in drawn.collect()}) == 20
+    both = drawn.withColumn("label", F.lit(0)).unionByName(docs.select("doc_id").distinct().withColumn("label", F.lit(1)))
+    rows = samples.with_columns_of(docs, both, ["text", "lang"]).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in rows) == sorted((r["doc_id"], r["label"]) for r in both.collect())
+    assert len({r["text"] for r in rows if r["doc_id"] == 1}) == 1
