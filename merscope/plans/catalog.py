@@ -444,7 +444,7 @@ def small_file_splits(spark, size):
 def fasta_split_borders(spark, sf_dir):
     """FASTA files cut into many input splits, so that k-mers cross borders."""
     path = scratch_dir(spark)
-    fasta_text(spark, sf_dir).coalesce(1).write.text(path)
+    fasta_text(spark, sf_dir).write.text(path)
     with small_file_splits(spark, 1 << 18):
         counts = counted(read_sequences(spark, path, 11, format="fasta"), 11)
         kept = scratch_dir(spark)
@@ -471,8 +471,9 @@ def stream_histogram(spark, sf_dir):
     """The events table as a stream of files, sketched batch by batch."""
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     inbox = scratch_dir(spark)
-    table.repartition(4, "event_id").write.parquet(inbox)
-    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    files = max(4, table.rdd.getNumPartitions())
+    table.repartition(files, "event_id").write.parquet(inbox)
+    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files // 4).parquet(inbox)
     work = scratch_dir(spark)
     stream = start_sketch_stream(
         derived.event_reads(events),

@@ -1,3 +1,4 @@
+import os
 import gzip
 import random
 from collections import Counter
@@ -306,3 +307,21 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     for master in ("yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             scratch_dir(Session(spark_master=master))
+
+
+@pytest.mark.parametrize("name, source, rows", [("fasta_split_borders", "lineitem", 6000), ("stream_histogram", "events", 3000)])
+def test_written_files_follow_the_partitions_of_the_table(spark, tmp_path, monkeypatch, name, source, rows):
+    from merscope.plans import catalog
+
+    table = spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").limit(rows)
+    table.repartition(6).write.parquet(str(tmp_path / "in" / f"{source}.parquet"))
+    made, scratch = [], catalog.scratch_dir
+    monkeypatch.setattr(catalog, "scratch_dir", lambda s: made.append(scratch(s)) or made[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+    try:
+        assert catalog.QUERIES[name](spark, str(tmp_path / "in")).count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    written = [p for p in os.listdir(made[0].removeprefix("file:")) if p.startswith("part-")]
+    assert len(written) > 4
