@@ -1,6 +1,5 @@
 import os
 import sys
-from collections import Counter
 
 import pytest
 
@@ -8,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from merscope.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -37,39 +34,3 @@ def small_splits(spark):
     yield use
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
-
-
-def frame(spark, seqs):
-    return spark.createDataFrame([(s,) for s in seqs], "seq string")
-
-
-def rc(kmer):
-    return kmer[::-1].translate(str.maketrans("ACGT", "TGCA"))
-
-
-def brute_kmers(seqs, k):
-    """Canonical k-mer counts by plain Python."""
-    counts = Counter()
-    for seq in seqs:
-        for fold in "acgt":
-            seq = seq.replace(fold, fold.upper())
-        for i in range(len(seq) - k + 1):
-            window = seq[i : i + k]
-            if set(window) <= set("ACGT"):
-                counts[min(window, rc(window))] += 1
-    return counts
-
-
-def brute_histogram(counts, n):
-    times = Counter(counts.values())
-    return [len(counts)] + [times[i] for i in range(1, n + 1)]
-
-
-def random_seqs(rng, count, low, high, letters="ACGT"):
-    return ["".join(rng.choices(letters, k=rng.randint(low, high))) for _ in range(count)]
-
-
-def estimates(histogram):
-    rows = histogram.collect()
-    assert [r["i"] for r in rows] == list(range(len(rows)))
-    return [r["est"] for r in rows]

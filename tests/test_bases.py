@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import frame, rc
+from kmer_cases import frame, rc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -2,7 +2,7 @@ import re
 import random
 
 import pytest
-from conftest import SF, brute_histogram, brute_kmers, frame, random_seqs
+from kmer_cases import SF, brute_histogram, brute_kmers, frame, random_seqs
 
 from merscope.cli import main
 from merscope.plans.histogram import kmer_histogram

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import brute_histogram, brute_kmers, estimates, frame, random_seqs
+from kmer_cases import brute_histogram, brute_kmers, estimates, frame, random_seqs
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import brute_histogram, brute_kmers, estimates, frame, random_seqs, rc
+from kmer_cases import brute_histogram, brute_kmers, estimates, frame, random_seqs, rc
 from pyspark.sql import functions as F
 
 from merscope import kmer_histogram

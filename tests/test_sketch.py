@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.errors import AnalysisException
-from conftest import brute_histogram, brute_kmers, estimates, frame, random_seqs
+from kmer_cases import brute_histogram, brute_kmers, estimates, frame, random_seqs
 from pyspark.sql import functions as F
 
 from merscope import kmer_histogram

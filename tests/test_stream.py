@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import estimates, frame, random_seqs
+from kmer_cases import estimates, frame, random_seqs
 
 from merscope.operators.estimate import histogram_from_cells
 from merscope.operators.sketch import CELL_COLUMNS, SketchParams, merge_cells
