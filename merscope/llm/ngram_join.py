@@ -72,7 +72,7 @@ def features(docs: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, heads = [], [], [], []
-            for found in shingle_sets(batch.column(1).to_pylist()):
+            for found in shingle_sets(batch.column(1)):
                 n.append(len(found))
                 a.append(found.sum(dtype=np.uint64))
                 b.append(mix(found + np.uint64(1)).sum(dtype=np.uint64))
@@ -163,7 +163,7 @@ def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
+            found = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
             columns = [batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "tokens"])
 
@@ -291,7 +291,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             packed = [
                 s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
-                for s in shingle_sets(batch.column(1).to_pylist())
+                for s in shingle_sets(batch.column(1))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["rep", "set"])
 

@@ -3,10 +3,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LOW, document, frame, messy, tuples
 
-from merscope.llm import components, ngram_join
+from merscope.llm import components, ngram_join, shingles as shingle_module
 from merscope.llm.shingles import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,13 +98,34 @@ def test_levels_skip_hot_shingles():
 
 def test_shingle_sets_do_not_depend_on_the_batch():
     texts = [t for _, t, *_ in messy()]
-    together = list(shingle_sets(texts))
+    together = list(shingle_sets(pa.array(texts, pa.string())))
     assert [len(s) for s in together] == [len(shingles(t)) for t in texts]
     for text, found in zip(texts, together, strict=True):
-        (alone,) = shingle_sets([text])
+        (alone,) = shingle_sets(pa.array([text], pa.large_string()))
         assert np.array_equal(alone, found)
 
 
+def test_shingle_sets_of_texts_in_stretches(monkeypatch):
+    """A text longer than a stretch, with words across its borders and one longer than it, gives the same set."""
+    rng = random.Random(8)
+    words = [rng.choice(["a", "word", "x" * 9, "y" * 40, "z" * 300]) + str(rng.randrange(90)) for _ in range(900)]
+    texts = ["  " + " ".join(words), "\n".join(words[:50]) + "\t\t", "q" * 1000, " " * 700]
+    want = list(shingle_sets(pa.array(texts)))
+    for size in (64, 100, 257):
+        monkeypatch.setattr(shingle_module, "GROUP_BYTES", size)
+        found = list(shingle_sets(pa.array([*texts, "short one", None])))
+        assert all(np.array_equal(a, b) for a, b in zip(want, found))
+        assert [len(s) for s in found] == [len(shingles(t)) for t in [*texts, "short one", None]]
+
+
+def test_a_text_of_a_million_words_keeps_little():
+    """What stays in a worker after a long text is the powers of one stretch."""
+    text = " ".join(f"w{i % 99991}" for i in range(1_000_000))
+    (found,) = shingle_sets(pa.array([text]))
+    assert len(found) == 99991
+    assert len(shingle_module.POWERS.up) <= 2 * shingle_module.GROUP_BYTES + 1
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
