@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 MOST_BYTES = 32 << 20
+# For operators whose Python steps all run while they are called.
+SMALL_BYTES = 4 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = MOST_BYTES) -> None:
     """Bound Arrow batches by bytes, so that long texts come in smaller batches.
 
     A smaller bound that the session already has stays.
     """
     now = spark.conf.get(SETTING, None)
-    if now is None or not now.isdigit() or int(now) > MOST_BYTES:
-        spark.conf.set(SETTING, str(MOST_BYTES))
+    if now is None or not now.isdigit() or int(now) > most:
+        spark.conf.set(SETTING, str(most))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for the jobs that are run inside; the session's own bound comes back."""
+    before = spark.conf.get(SETTING, None)
+    bound_batches(spark, SMALL_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SETTING)
+        else:
+            spark.conf.set(SETTING, before)

@@ -12,12 +12,15 @@ from merscope.llm import (
     chat_format,
     decontamination,
     exact_dedup,
+    fill_in_middle,
     language_id,
     license_scan,
+    minmax_dedup,
     ngram_join,
     packing,
     quality,
     sharding,
+    spelling,
     toxicity,
 )
 
@@ -91,3 +94,18 @@ def op9_exact_dedup(spark, sf_dir):
 @query
 def op10_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_minhash_dedup(spark, sf_dir):
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

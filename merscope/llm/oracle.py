@@ -90,3 +90,85 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
     doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM norm WINDOW same AS (PARTITION BY t)
 """
+
+# All pairs of sets that share a shingle, and what can be reached over those that link.
+COMPONENTS = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+    SELECT DISTINCT doc_id, s
+    FROM (SELECT doc_id, unnest(CASE WHEN len(w) < 4 THEN [w] ELSE [w[i:i + 3] FOR i IN range(1, len(w) - 2)] END) AS s
+          FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+    SELECT a, b FROM pair JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id
+    WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM doc
+    UNION SELECT both_ways.b, root FROM reach JOIN both_ways ON reach.doc_id = both_ways.a),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id{more}
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+ORACLE_SQL["op3_ngram_join"] = COMPONENTS.format(lower=LOWER.format("text"), percent=85, more="")
+ORACLE_SQL["op11_minhash_dedup"] = COMPONENTS.format(
+    lower=LOWER.format("text"), percent=80, more=", doc_id = component_id AS kept"
+)
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t FROM documents),
+drawn AS (
+    SELECT doc_id, text, t, len(t) AS n, [('0x' || substr(s, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM doc),
+cut AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90
+            THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+piece AS (
+    SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS e FROM cut)
+SELECT doc_id, n::BIGINT AS n, form,
+    CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m
+        ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM piece
+"""
+
+# The CRC-32 of a string from the hex digits of its bytes, low digit of each byte first.
+CRC = (
+    "xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(regexp_replace(hex({}), '(.)(.)', '\\2\\1', 'g'), ''), "
+    "lambda c: (instr('0123456789ABCDEF', c) - 1)::UBIGINT), "
+    f"lambda a, b: xor(a >> 4, {CRC_NIBBLES}[1 + (xor(a, b) & 15)::BIGINT]), 4294967295::UBIGINT))::BIGINT"
+)
+ORACLE_SQL["op13_spelling_variants"] = f"""
+WITH RECURSIVE run AS (
+    SELECT doc_id, r, count(*) AS c
+    FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)
+    WHERE length(r) >= 7 GROUP BY doc_id, r),
+drawn AS (SELECT r, c, {CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || r")} AS h FROM run),
+word AS (
+    SELECT w, sum(c)::BIGINT AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2) ELSE r END AS w, c FROM drawn)
+    WHERE length(w) >= 7 GROUP BY w HAVING sum(c) >= 2),
+gap AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS g FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word)),
+pair AS (
+    SELECT a.w AS a, b.w AS b FROM gap a JOIN gap b ON a.i = b.i AND a.g = b.g AND a.w <> b.w
+    UNION SELECT gap.w, word.w FROM gap JOIN word ON gap.g = word.w
+    UNION SELECT word.w, gap.w FROM gap JOIN word ON gap.g = word.w),
+near AS (
+    SELECT a, count(*) AS n_near, max(word.n) AS most, arg_min(b, struct_pack(x := -word.n, y := b)) AS b
+    FROM pair JOIN word ON pair.b = word.w GROUP BY a),
+formed AS (
+    SELECT w, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 10 * n THEN b END AS form,
+        CASE WHEN most >= 10 * n THEN most END AS form_n FROM word LEFT JOIN near ON w = a),
+chain(w, here, step) AS (
+    SELECT w, w, 0 FROM formed
+    UNION ALL SELECT chain.w, formed.form, step + 1 FROM chain JOIN formed ON chain.here = formed.w WHERE formed.form IS NOT NULL),
+last AS (SELECT w, arg_max(here, step) AS root FROM chain GROUP BY w)
+SELECT w AS word, form, root, n, n_near, form_n FROM formed JOIN last USING (w)
+"""
