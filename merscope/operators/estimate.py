@@ -53,8 +53,8 @@ def level_histogram(cells: DataFrame, params: SketchParams, n: int) -> DataFrame
     )
 
 
-def best_levels(level_hist: DataFrame, params: SketchParams) -> DataFrame:
-    """``(copy, v, level, t)``: the level each estimate is read from.
+def best_levels(level_hist: DataFrame, params: SketchParams, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(copy, v, level, t)``: the level each estimate is read from, for each value of ``by``.
 
     v = 0: the level whose empty columns come closest to R/2, leaving out
     levels that are completely full or completely empty. v >= 1: the level with
@@ -66,8 +66,9 @@ def best_levels(level_hist: DataFrame, params: SketchParams) -> DataFrame:
     usable = (F.col("v") == 0) & (distance < half)
     near = F.min(F.when(usable, F.struct(distance.alias("d"), F.col("level"), F.col("t"))))
     most = F.max(F.when(F.col("v") > 0, F.struct(F.col("t"), (-F.col("level")).alias("up"))))
-    picked = level_hist.groupBy("copy", "v").agg(near.alias("near"), most.alias("most"))
+    picked = level_hist.groupBy(*by, "copy", "v").agg(near.alias("near"), most.alias("most"))
     return picked.select(
+        *by,
         "copy",
         "v",
         F.coalesce(F.col("near.level"), -F.col("most.up")).alias("level"),
@@ -101,27 +102,35 @@ def middle(estimates: Column, copies: int) -> Column:
     return F.element_at(F.sort_array(F.concat(estimates, missing)), copies // 2 + 1)
 
 
-def estimates_per_copy(picks: DataFrame, params: SketchParams) -> DataFrame:
-    """``(copy, i, est)``; the f_i use the median F0 of all copies.
+def estimates_per_copy(picks: DataFrame, params: SketchParams, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(copy, i, est)``, for each value of ``by``; the f_i use the median F0 of all copies.
 
-    The window without a partition sees at most copies * (n+1) rows.
+    The window sees at most copies * (n+1) rows a value.
     """
     own_f0 = F.when(F.col("v") == 0, f0_estimate(F.col("t"), F.col("level"), params))
-    f0 = middle(F.collect_list(own_f0).over(Window.partitionBy()), params.copies)
-    rows = picks.coalesce(1).withColumn("f0", f0)
+    f0 = middle(F.collect_list(own_f0).over(Window.partitionBy(*by)), params.copies)
+    rows = (picks if by else picks.coalesce(1)).withColumn("f0", f0)
     fj = fj_estimate(F.col("t"), F.col("level"), F.col("f0"), params)
-    return rows.select("copy", F.col("v").alias("i"), F.coalesce(own_f0, fj).alias("est"))
+    return rows.select(*by, "copy", F.col("v").alias("i"), F.coalesce(own_f0, fj).alias("est"))
 
 
 def histogram_from_cells(cells: DataFrame, params: SketchParams, n: int) -> DataFrame:
     """``histogram(i, est)`` with exactly the rows i = 0..n, zeros included."""
-    picks = best_levels(level_histogram(cells, params, n), params)
-    rows = estimates_per_copy(picks, params).select("i", "est")
+    return histogram_from_levels(level_histogram(cells, params, n), params, n)
+
+
+def histogram_from_levels(level_hist: DataFrame, params: SketchParams, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same from the ``(copy, level, v, t)`` of any form of the sketch.
+
+    With ``by``, for each of its values that has any k-mer.
+    """
+    rows = estimates_per_copy(best_levels(level_hist, params, by), params, by).select(*by, "i", "est")
     none = F.lit(None).cast("bigint").alias("est")
-    grid = cells.sparkSession.range(n + 1).select(F.col("id").alias("i"), none)
-    return (
-        rows.unionByName(grid)
-        .coalesce(1)
-        .groupBy("i")
-        .agg(middle(F.collect_list("est"), params.copies).alias("est"))
-    )
+    if by:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint")))
+        grid = level_hist.select(*by).distinct().select(*by, every.alias("i"), none)
+        union = rows.unionByName(grid)
+    else:
+        grid = level_hist.sparkSession.range(n + 1).select(F.col("id").alias("i"), none)
+        union = rows.unionByName(grid).coalesce(1)
+    return union.groupBy(*by, "i").agg(middle(F.collect_list("est"), params.copies).alias("est"))

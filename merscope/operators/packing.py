@@ -80,34 +80,40 @@ def canonical_words(codes: np.ndarray, k: int) -> list[np.ndarray]:
     return [np.where(smaller, f, r) for f, r in zip(fwd, rev)]
 
 
+def whole_kmers(text: np.ndarray, k: int, table: np.ndarray):
+    """Words of the canonical k-mers in ``text``, a number of windows at a time."""
+    for at in range(0, len(text) - k + 1, STEP):
+        codes = table[text[at : at + STEP + k - 1]]
+        breaks = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(codes == NOT_A_BASE, out=breaks[1:])
+        whole = np.flatnonzero(breaks[k:] == breaks[:-k])
+        yield [w[whole] for w in canonical_words(codes, k)]
+
+
+def gathered_kmers(column: pa.Array, k: int, table: np.ndarray):
+    """The same, about ``ROWS`` at a time, for a column whose rows each end in
+    a byte that is not a base, so that no window spans two rows."""
+    text, _ = text_and_offsets(column)
+    done, rows = [], 0
+    for words in whole_kmers(text, k, table):
+        done.append(words)
+        rows += len(words[0])
+        if rows >= ROWS:
+            yield [np.concatenate(w) for w in zip(*done)]
+            done, rows = [], 0
+    if rows:
+        yield [np.concatenate(w) for w in zip(*done)]
+
+
 def kmer_batches(k: int):
-    """``mapInArrow`` function for one binary column whose rows each end in a
-    byte that is not a base, so that no window spans two rows."""
+    """``mapInArrow`` function from a binary column as in :func:`gathered_kmers` to packed k-mers."""
     names = word_names(k)
     table = base_codes()
 
-    def to_batch(parts):
-        words = [pa.array(np.concatenate(w)) for w in zip(*parts)]
-        return pa.RecordBatch.from_arrays(words, names)
-
     def pack(batches):
         for batch in batches:
-            column = batch.column(0)
-            if len(column) == 0:
-                continue
-            text, _ = text_and_offsets(column)
-            done, rows = [], 0
-            for at in range(0, len(text) - k + 1, STEP):
-                codes = table[text[at : at + STEP + k - 1]]
-                breaks = np.zeros(len(codes) + 1, np.int32)
-                np.cumsum(codes == NOT_A_BASE, out=breaks[1:])
-                whole = np.flatnonzero(breaks[k:] == breaks[:-k])
-                done.append([w[whole] for w in canonical_words(codes, k)])
-                rows += len(whole)
-                if rows >= ROWS:
-                    yield to_batch(done)
-                    done, rows = [], 0
-            if rows:
-                yield to_batch(done)
+            if batch.num_rows:
+                for words in gathered_kmers(batch.column(0), k, table):
+                    yield pa.RecordBatch.from_arrays([pa.array(w) for w in words], names)
 
     return pack

@@ -37,7 +37,7 @@ def byte_slices(raw: Column, step: int, width: int, spare: int) -> Column:
     return F.when(F.length(raw) <= width, F.array(raw)).otherwise(F.flatten(cuts))
 
 
-def tile_sequences(reads: DataFrame, k: int, seq: str = "seq", tile: int | None = None) -> DataFrame:
+def tile_sequences(reads: DataFrame, k: int, seq: str = "seq", tile: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cut long sequences into binary tiles that overlap by k-1 bytes.
 
     Every window of k bytes lies in exactly one tile as a window start, so the
@@ -48,11 +48,12 @@ def tile_sequences(reads: DataFrame, k: int, seq: str = "seq", tile: int | None
     that end a segment anyway.
 
     Sequences shorter than k pass through: filtering them here would have Spark
-    evaluate the sequence twice, and below any shuffle that feeds it.
+    evaluate the sequence twice, and below any shuffle that feeds it. The
+    columns ``keep`` stay with the tiles.
     """
     tile = max(tile or TILE, k)
-    source = reads.select(F.col(seq).cast("binary").alias("raw"))
-    return source.select(F.explode(byte_slices(F.col("raw"), tile, tile + k - 1, k - 1)).alias("tile"))
+    source = reads.select(*keep, F.col(seq).cast("binary").alias("raw"))
+    return source.select(*keep, F.explode(byte_slices(F.col("raw"), tile, tile + k - 1, k - 1)).alias("tile"))
 
 
 def segments(reads: DataFrame, k: int = 1, seq: str = "seq") -> DataFrame:

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merscope.functions import bases
-from merscope.operators import estimate, exact, sketch
+from merscope.functions.sql import register_sql
+from merscope.operators import blocks, estimate, exact, grouped, sketch
 from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers
 from merscope.operators.segments import segments
 from merscope.operators.sketch import SketchParams
-from merscope.plans.histogram import kmer_cells, kmer_histogram
+from merscope.plans.histogram import kmer_blocks, kmer_cells, kmer_histogram
 from merscope.plans.report import report_rows
 from merscope.plans.scratch import scratch_dir
 from merscope.sources import derived
-from merscope.sources.reads import read_sequences, union_sources
+from merscope.sources.reads import read_ranges, read_sequences, union_sources
 from merscope.streaming.sketch_stream import start_sketch_stream, stream_cells
+from merscope.streaming.state_stream import start_file_state_stream, start_state_stream, state_histogram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -485,3 +487,134 @@ def stream_histogram(spark, sf_dir):
     )
     stream.awaitTermination()
     return estimate.histogram_from_cells(stream_cells(spark, f"{work}/state"), SMALL, SMALL_N)
+
+
+# --- blocks, groups, SQL --------------------------------------------------------------
+
+
+@query
+def sketch_cells_xx_k33(spark, sf_dir):
+    """Cells of k-mers of two words."""
+    return kmer_cells(derived.lineitem_reads(spark, sf_dir), 33, SketchParams(r_exp=12), preaggregate=True)
+
+
+@query
+def sketch_blocks(spark, sf_dir):
+    """The cells of ``sketch_cells_xx``, combined in the tasks and moved in blocks."""
+    params = SketchParams(r_exp=12, seed=5)
+    return blocks.cells_of_blocks(kmer_blocks(derived.lineitem_reads(spark, sf_dir), SMALL_K, params), params)
+
+
+@query
+def sketch_blocks_k33(spark, sf_dir):
+    params = SketchParams(r_exp=12)
+    found = kmer_blocks(derived.lineitem_reads(spark, sf_dir), 33, params, preaggregate=True)
+    return blocks.cells_of_blocks(found, params)
+
+
+@query
+def sketch_blocks_marked(spark, sf_dir):
+    """A sketch so small that most of its blocks are marked full on the way."""
+    params = SketchParams(r_exp=6)
+    found = kmer_blocks(derived.lineitem_reads(spark, sf_dir), SMALL_K, params)
+    return estimate.histogram_from_levels(blocks.block_level_histogram(found, params, SMALL_N), params, SMALL_N)
+
+
+@query
+def sketch_cells_multiply(spark, sf_dir):
+    """Cells of the two-universal hash."""
+    params = SketchParams(r_exp=12, hash="multiply")
+    return kmer_cells(derived.lineitem_reads(spark, sf_dir), SMALL_K, params, preaggregate=True)
+
+
+@query
+def sketch_blocks_multiply(spark, sf_dir):
+    """The same in blocks, with another seed."""
+    params = SketchParams(r_exp=12, hash="multiply", seed=9)
+    return blocks.cells_of_blocks(kmer_blocks(derived.lineitem_reads(spark, sf_dir), SMALL_K, params), params)
+
+
+def line_blocks(spark: SparkSession, sf_dir: str, params: SketchParams) -> DataFrame:
+    """A sketch for each line number of the line items."""
+    rows = derived.table(spark, sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey")
+    seq = derived.bases_of(derived.digest("", "l_partkey"), derived.digest("s", "l_suppkey"))
+    return grouped.grouped_blocks(rows.select("l_linenumber", seq.alias("seq")), F.col("l_linenumber"), SMALL_K, params)
+
+
+@query
+def grouped_histogram(spark, sf_dir):
+    params = SketchParams(r_exp=12)
+    return grouped.grouped_histogram(line_blocks(spark, sf_dir, params), params, SMALL_N)
+
+
+@query
+def grouped_rollup(spark, sf_dir):
+    """Two coarser groups, from the sketches of the finer ones."""
+    params = SketchParams(r_exp=12)
+    half = F.when(F.col("grp").cast("int") < 4, "early").otherwise("late")
+    return grouped.grouped_histogram(grouped.rolled_up(line_blocks(spark, sf_dir, params), half, params), params, SMALL_N)
+
+
+@query
+def sql_kmers(spark, sf_dir):
+    """k-mer counts as a SQL text."""
+    register_sql(spark)
+    return spark.sql(
+        """SELECT reverse_complement(kmer) AS rc, kmer, count(*) AS cnt
+        FROM (SELECT kmer FROM {reads}, LATERAL kmers(seq, {k})) GROUP BY kmer""",
+        reads=derived.lineitem_reads(spark, sf_dir),
+        k=SMALL_K,
+    )
+
+
+# --- files by ranges, keyed stream state ----------------------------------------------
+
+
+@query
+def fastq_ranges(spark, sf_dir):
+    """FASTQ through the data source, in ranges far shorter than the files."""
+    path = scratch_dir(spark)
+    fastq_text(spark, sf_dir).write.text(path)
+    reads = read_ranges(spark, [path], 21, "fastq", split_bytes=1 << 18)
+    return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query
+def fasta_ranges(spark, sf_dir):
+    """FASTA through the data source, with k-mers across the borders of its ranges."""
+    path = scratch_dir(spark)
+    fasta_text(spark, sf_dir).write.text(path)
+    return counted(read_ranges(spark, [path], 11, "fasta", split_bytes=1 << 16), 11)
+
+
+@query
+def fastq_gzip_ranges(spark, sf_dir):
+    """Gzip files through the data source, in ranges of which some hold no member's beginning."""
+    path = scratch_dir(spark)
+    fastq_text(spark, sf_dir).write.text(path, compression="gzip")
+    return kmer_histogram(read_ranges(spark, [path], 21, "fastq", split_bytes=1 << 16), 21, 8, method="exact")
+
+
+@query
+def stream_state_histogram(spark, sf_dir):
+    """The events table as a stream of files, sketched in the state store."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    inbox, folder = scratch_dir(spark), scratch_dir(spark)
+    files = max(4, table.rdd.getNumPartitions())
+    table.repartition(files, "event_id").write.parquet(inbox)
+    events = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files // 4).parquet(inbox)
+    params = SketchParams(r_exp=12)
+    start_state_stream(derived.event_reads(events), folder, SMALL_K, params).awaitTermination()
+    return state_histogram(spark, folder, params, SMALL_N)
+
+
+@query
+def stream_state_files(spark, sf_dir):
+    """FASTA files as a stream, read in ranges as they come."""
+    inbox, folder = scratch_dir(spark), scratch_dir(spark)
+    fasta_text(spark, sf_dir).write.text(inbox)
+    params = SketchParams(r_exp=12)
+    start_file_state_stream(
+        spark, inbox, "fasta", folder, SMALL_K, params, files_per_batch=3, split_bytes=1 << 18
+    ).awaitTermination()
+    return state_histogram(spark, folder, params, SMALL_N)

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merscope.operators.estimate import check_frequencies, histogram_from_cells
+from merscope.functions.hash_arrays import ARRAY_FAMILIES
+from merscope.operators.blocks import (
+    block_level_histogram,
+    blocks_of_counts,
+    blocks_of_reads,
+    full_pairs,
+    marked_blocks,
+    merge_blocks,
+)
+from merscope.operators.estimate import check_frequencies, histogram_from_levels, level_histogram
 from merscope.operators.exact import abundance_histogram, check_n, kmer_counts
 from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers
 from merscope.operators.segments import check_k
@@ -14,40 +23,61 @@ from merscope.sources.reads import read_sequences
 METHODS = ("sketch", "exact")
 
 
+def expansion(params: SketchParams):
+    """The md5 hash takes k-mers as strings, the others take them packed."""
+    return canonical_kmer_strings if params.hash == "md5" else canonical_kmers
+
+
 def kmer_cells(
     reads: DataFrame,
     k: int = 21,
     params: SketchParams = SketchParams(),
     *,
     seq: str = "seq",
-    min_level: int = 0,
     prove_with: DataFrame | None = None,
     preaggregate: bool = False,
 ) -> DataFrame:
-    """Sketch cells of the canonical k-mers of ``reads``.
+    """Sketch cells of the canonical k-mers of ``reads``, one row a cell.
 
     ``prove_with`` is a part of the reads, e.g. a few of many files. It is
     sketched first; levels it fills up altogether, which no estimate can come
     from, are then left out for the whole and marked as full. Estimates, and
     merges with any other sketch, are the same with and without it; on a large
-    input it leaves a few k-mers in a million to shuffle. ``min_level`` above
-    0 treats the levels below as full without proof. ``preaggregate`` counts
-    distinct k-mers before sketching; it pays where each k-mer is seen many
-    times and fits a shuffle.
+    input it leaves a few k-mers in a million to shuffle. ``preaggregate``
+    counts distinct k-mers before sketching; it pays where each k-mer is seen
+    many times and fits a shuffle.
     """
-    if not isinstance(min_level, int) or min_level < 0:
-        raise ValueError(f"min_level must be an integer >= 0, got {min_level!r}")
-    expand = canonical_kmer_strings if params.hash == "md5" else canonical_kmers
-    full = [(copy, level) for copy in range(params.copies) for level in range(min_level)]
+    expand, full = expansion(params), []
     if prove_with is not None:
-        part = sketch_cells(expand(prove_with, k, seq), params, full)
-        full = sorted({*full, *full_levels(part, params)})
+        full = full_levels(sketch_cells(expand(prove_with, k, seq), params), params)
     kmers = expand(reads, k, seq)
     if preaggregate:
         return sketch_cells(kmer_counts(kmers), params, full, weight="cnt")
     return sketch_cells(kmers, params, full)
 
 
+def kmer_blocks(
+    reads: DataFrame,
+    k: int = 21,
+    params: SketchParams = SketchParams(),
+    *,
+    seq: str = "seq",
+    prove_with: DataFrame | None = None,
+    preaggregate: bool = False,
+) -> DataFrame:
+    """The same sketch as merged blocks: see ``operators.blocks``. Options as for :func:`kmer_cells`."""
+    full = []
+    if prove_with is not None:
+        full = full_pairs(merge_blocks(blocks_of_reads(prove_with, k, params, seq), params), params)
+    if preaggregate:
+        found = blocks_of_counts(kmer_counts(canonical_kmers(reads, k, seq)), k, params, full=full)
+    else:
+        found = blocks_of_reads(reads, k, params, seq, full)
+    if full:
+        found = found.unionByName(marked_blocks(reads.sparkSession, full, params))
+    return merge_blocks(found, params)
+
+
 def kmer_histogram(
     reads: DataFrame,
     k: int = 21,
@@ -60,7 +90,6 @@ def kmer_histogram(
     copies: int = 7,
     seed: int = 0,
     hash: str = "xxhash64",
-    min_level: int = 0,
     prove_with: DataFrame | None = None,
     preaggregate: bool = False,
 ) -> DataFrame:
@@ -77,10 +106,12 @@ def kmer_histogram(
     else:
         check_frequencies(n)
         params = SketchParams(r_exp, u_exp, copies, seed, hash)
-        cells = kmer_cells(
-            reads, k, params, seq=seq, min_level=min_level, prove_with=prove_with, preaggregate=preaggregate
-        )
-        result = histogram_from_cells(cells, params, n)
+        options = {"seq": seq, "prove_with": prove_with, "preaggregate": preaggregate}
+        if hash in ARRAY_FAMILIES:
+            levels = block_level_histogram(kmer_blocks(reads, k, params, **options), params, n)
+        else:
+            levels = level_histogram(kmer_cells(reads, k, params, **options), params, n)
+        result = histogram_from_levels(levels, params, n)
     return result.coalesce(1).orderBy("i")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from merscope.functions.hashing import multiply_parameters
+
 LINEITEM = """
 SELECT translate(md5(l_partkey::VARCHAR) || md5('s' || l_suppkey::VARCHAR),
                  '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM lineitem"""
@@ -118,23 +122,51 @@ def packed_word(start: int, stop: int) -> str:
     )
 
 
-def xx_hashes(source: str, k: int, r_exp: int, seed: int = 0) -> str:
-    """As ``hashes``, with the production hash of packed k-mers of one word."""
-    number = f"({seed * 1_000_003} + copy)"
-    mask = (1 << r_exp) - 1
+def xx_first(source: str, k: int, seed: int) -> list[str]:
+    """CTEs up to ``halved(copy, cnt, h)``: the 63-bit hash of packed k-mers, word after word."""
+    spans = [(a, min(a + 31, k)) for a in range(0, k, 31)]
+    words = [f"({packed_word(a, b)})::BIGINT AS word{i}" for i, (a, b) in enumerate(spans)]
+    names = ", ".join(f"word{i}" for i in range(len(spans)))
     steps = [
         f"""{counts(source, k)},
-packed AS (SELECT ({packed_word(0, k)})::BIGINT AS word, cnt FROM counts),
-copied AS (SELECT copy, word, cnt FROM packed, (SELECT unnest(range(0, 7))::INTEGER AS copy))""",
-        xx_step("seeded", "copied", f"{SPARK_SEED}::UBIGINT", number, "h0"),
-        xx_step("worded", "seeded", "h0", "word", "h1"),
-        "halved AS (SELECT copy, cnt, h1 >> 1 AS h FROM worded)",
-        xx_step("again", "halved", f"{SPARK_SEED}::UBIGINT", "h", "h2"),
-        xx_step("mixed", "again", "h2", "117", "h3"),
-        f"""hashed AS (
+packed AS (SELECT {", ".join(words)}, cnt FROM counts),
+copied AS (SELECT copy, {names}, cnt FROM packed, (SELECT unnest(range(0, 7))::INTEGER AS copy))""",
+        xx_step("seeded", "copied", f"{SPARK_SEED}::UBIGINT", f"({seed * 1_000_003} + copy)", "h0"),
+    ]
+    before = "seeded"
+    for i in range(len(spans)):
+        steps.append(xx_step(f"worded{i}", before, f"h{i}", f"word{i}", f"h{i + 1}"))
+        before = f"worded{i}"
+    return [*steps, f"halved AS (SELECT copy, cnt, h{len(spans)} >> 1 AS h FROM {before})"]
+
+
+def placed(u: str, r_exp: int, source: str) -> str:
+    return f"""hashed AS (
   SELECT copy, least(63, bit_count((~(h::BIGINT)) & (h::BIGINT - 1)))::INTEGER AS level,
-         (((h3 >> 32)::BIGINT >> 13) & {mask})::BIGINT AS col, ((h3 >> 32)::BIGINT & 8191)::BIGINT AS pos, cnt
-  FROM mixed)""",
+         (({u}) >> 13) & {(1 << r_exp) - 1} AS col, ({u}) & 8191 AS pos, cnt
+  FROM {source})"""
+
+
+def xx_hashes(source: str, k: int, r_exp: int, seed: int = 0) -> str:
+    """As ``hashes``, with the production hash of packed k-mers."""
+    steps = [
+        *xx_first(source, k, seed),
+        xx_step("again", "halved", f"{SPARK_SEED}::UBIGINT", "h", "g2"),
+        xx_step("mixed", "again", "g2", "117", "g3"),
+        placed("(g3 >> 32)::BIGINT", r_exp, "mixed"),
+    ]
+    return ",\n".join(s.strip() for s in steps)
+
+
+def multiply_hashes(source: str, k: int, r_exp: int, seed: int = 0) -> str:
+    """As ``xx_hashes``, with column and fingerprint by an odd multiple and a sum."""
+    drawn = [multiply_parameters(copy, seed) for copy in range(7)]
+    factor, summand = ("CASE copy " + " ".join(f"WHEN {c} THEN {d[i]}::UHUGEINT" for c, d in enumerate(drawn)) + " END" for i in (0, 1))
+    product = f"(h::UHUGEINT * ({factor}) + ({summand})) % 18446744073709551616::UHUGEINT"
+    steps = [
+        *xx_first(source, k, seed),
+        f"mixed AS (SELECT copy, cnt, h, (({product}) // 4294967296::UHUGEINT)::BIGINT AS u FROM halved)",
+        placed("u", r_exp, "mixed"),
     ]
     return ",\n".join(s.strip() for s in steps)
 
@@ -147,6 +179,14 @@ vals AS (SELECT copy, level, CASE WHEN pos_min = pos_max AND cnt < 65535 THEN cn
          FROM cells)"""
 
 
+def marked_cells(source: str, k: int, r_exp: int, hashed) -> str:
+    """Cells, with a mark in place of those of a level whose columns all are invalid."""
+    return f"""WITH {cells(source, k, r_exp, hashed)},
+filled AS (SELECT copy, level, count(*) FILTER (pos_min < pos_max) = {1 << r_exp} AS is_full FROM cells GROUP BY copy, level)
+SELECT cells.* FROM cells JOIN filled USING (copy, level) WHERE NOT is_full
+UNION ALL SELECT copy, level, -1, 0, 1, 0 FROM filled WHERE is_full"""
+
+
 def levels(source: str, k: int, r_exp: int, n: int, hashed=None) -> str:
     return f"""{cells(source, k, r_exp, hashed)},
 levels AS (
@@ -204,8 +244,15 @@ SELECT symbol, cnt FROM known UNION ALL
 SELECT 'OTHER', (SELECT sum(strlen(text)) FROM documents)::BIGINT - sum(cnt)::BIGINT FROM known"""
 
 
-def seeded_hashes(source: str, k: int, r_exp: int) -> str:
-    return xx_hashes(source, k, r_exp, seed=5)
+def line_reads(number: int) -> str:
+    return f"{LINEITEM} WHERE l_linenumber = {number}"
+
+
+def grouped(names: dict[str, str], k: int, r_exp: int, n: int) -> str:
+    """Histograms of several sources, each by its name."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS grp, i, est FROM ({sketch_histogram(source, k, r_exp, n, xx_hashes)})" for name, source in names.items()
+    )
 
 
 def build() -> dict[str, str]:
@@ -214,6 +261,7 @@ def build() -> dict[str, str]:
     code = "+".join(f"(instr('ACGT', substr(kmer, {i}, 1)) - 1) * {4 ** (11 - i)}" for i in range(1, 12))
     both = f"{LINEITEM} UNION ALL {ORDERS}"
     small_sketch = sketch_histogram(LINEITEM, k, r, n)
+    seeded = partial(xx_hashes, seed=5)
     return {
         "base_class_counts": symbol_counts(),
         "segments_split": f"WITH {segments(LINEITEM)} {runs} WHERE s <> '' GROUP BY s",
@@ -287,7 +335,22 @@ def build() -> dict[str, str]:
             GROUP BY copy, level""",
         "level_hash_xx": f"""WITH {xx_hashes(LINEITEM, k, r)}
             SELECT copy, level, count(*)::BIGINT AS cnt FROM hashed GROUP BY copy, level""",
-        "sketch_cells_xx": f"WITH {cells(LINEITEM, k, r, seeded_hashes)} SELECT * FROM cells",
+        "sketch_cells_xx": f"WITH {cells(LINEITEM, k, r, seeded)} SELECT * FROM cells",
+        "sketch_cells_xx_k33": f"WITH {cells(LINEITEM, 33, r, xx_hashes)} SELECT * FROM cells",
+        "sketch_blocks": marked_cells(LINEITEM, k, r, seeded),
+        "sketch_blocks_k33": marked_cells(LINEITEM, 33, r, xx_hashes),
+        "sketch_blocks_marked": sketch_histogram(LINEITEM, k, 6, n, xx_hashes),
+        "sketch_cells_multiply": f"WITH {cells(LINEITEM, k, r, multiply_hashes)} SELECT * FROM cells",
+        "sketch_blocks_multiply": marked_cells(LINEITEM, k, r, partial(multiply_hashes, seed=9)),
+        "grouped_histogram": grouped({str(i): line_reads(i) for i in range(1, 8)}, k, r, n),
+        "grouped_rollup": grouped({"early": f"{LINEITEM} WHERE l_linenumber < 4", "late": f"{LINEITEM} WHERE l_linenumber >= 4"}, k, r, n),
+        "sql_kmers": f"""WITH {kmers(LINEITEM, k)}
+            SELECT reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc, kmer, count(*)::BIGINT AS cnt FROM kmers GROUP BY kmer""",
+        "fastq_ranges": f"SELECT seq, count(*)::BIGINT AS cnt FROM ({LINEITEM}) GROUP BY seq",
+        "fasta_ranges": count_rows(LINEITEM, 11),
+        "fastq_gzip_ranges": histogram(LINEITEM, 21, 8),
+        "stream_state_histogram": sketch_histogram(EVENTS, k, r, n, xx_hashes),
+        "stream_state_files": sketch_histogram(LINEITEM, k, r, n, xx_hashes),
         "kmer_histogram_sketch_xx": sketch_histogram(LINEITEM, 21, 19, n, xx_hashes),
         "fastq_read": f"SELECT seq, count(*)::BIGINT AS cnt FROM ({LINEITEM}) GROUP BY seq",
         "fastq_gzip_histogram": histogram(LINEITEM, 21, 8),

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merscope.operators.segments import check_k
+from merscope.sources import datasource
 from merscope.sources.fasta import read_fasta
 from merscope.sources.fastq import read_fastq
+from merscope.sources.formats import SUFFIXES, file_format
 from merscope.sources.spread import GZIP, GZIP_NAMES, OTHER_NAMES, spread, spread_gzip
 
-# The file name endings of each format; each may add .gz.
-SUFFIXES = {"fasta": (".fa", ".fasta"), "fastq": (".fq", ".fastq")}
-
 # Hadoop picks a decompressor by file name; this one hands on the bytes of
 # names ending in .gz as they are. Spark's bundled Hadoop client knows the
 # extension setting under a relocated name.
@@ -25,13 +25,20 @@ AS_IS = {
 }
 
 
-def file_format(path: str) -> str:
-    """``fasta`` or ``fastq``, from the (case-sensitive) end of the name."""
-    name = path.removesuffix(GZIP)
-    for kind, endings in SUFFIXES.items():
-        if name.endswith(endings):
-            return kind
-    raise ValueError(f"cannot tell the format of {path} from its name")
+READERS = ("text", "ranges", "auto")
+
+
+def is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
+def read_ranges(spark: SparkSession, paths: list[str], k: int, format: str | None = None, split_bytes: int | None = None) -> DataFrame:
+    """:func:`read_sequences` by the data source of ``sources.datasource``."""
+    datasource.register(spark)
+    load = spark.read.format(datasource.NAME).option("k", k).option("files", json.dumps(paths))
+    for name, value in (("format", format), ("splitBytes", split_bytes)):
+        load = load if value is None else load.option(name, value)
+    return load.load()
 
 
 def read_sequences(
@@ -40,6 +47,7 @@ def read_sequences(
     k: int,
     format: str | None = None,
     compressed: bool = True,
+    reader: str = "text",
 ) -> DataFrame:
     """``reads(file, seq)`` of all files, as one bag of sequences.
 
@@ -49,6 +57,12 @@ def read_sequences(
     read by one task each, are scanned apart and their sequences dealt out
     over the cluster; the others stay in their splits. ``compressed=False``
     reads files that merely carry a ``.gz`` name.
+
+    ``reader`` is ``text``, which goes through Spark's text source and so
+    reads whatever Spark reads; ``ranges``, the data source of
+    ``sources.datasource``, which reads each file once, lines of any length,
+    and the members of gzip files in parallel, from local paths and the file
+    systems PyArrow has; or ``auto``: ``ranges`` for local paths, else ``text``.
     """
     check_k(k)
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -56,6 +70,10 @@ def read_sequences(
         raise ValueError("no input files")
     if format is not None and format not in SUFFIXES:
         raise ValueError(f"format must be one of {sorted(SUFFIXES)}")
+    if reader not in READERS:
+        raise ValueError(f"reader must be one of {READERS}")
+    if reader == "ranges" or (reader == "auto" and compressed and all(is_local(p) for p in paths)):
+        return read_ranges(spark, paths, k, format)
     options = {} if compressed else AS_IS
     groups: dict[str, list[str]] = {}
     for path in paths:

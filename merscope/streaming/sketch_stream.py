@@ -66,7 +66,6 @@ def start_sketch_stream(
     k: int = 21,
     params: SketchParams = SketchParams(),
     *,
-    min_level: int = 0,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     preaggregate: bool = False,
 ) -> StreamingQuery:
@@ -82,7 +81,7 @@ def start_sketch_stream(
 
     def update(batch: DataFrame, batch_id: int) -> None:
         reads = prepare(batch) if prepare else spread(batch)
-        cells = kmer_cells(reads, k, params, min_level=min_level, preaggregate=preaggregate)
+        cells = kmer_cells(reads, k, params, preaggregate=preaggregate)
         if batch_id > 0:
             before = read_slot(batch.sparkSession, state, batch_id - 1)
             check_label(before, batch_id - 1)
@@ -122,7 +121,6 @@ def start_file_stream(
     params: SketchParams = SketchParams(),
     *,
     files_per_batch: int = 1000,
-    min_level: int = 0,
 ) -> StreamingQuery:
     """Sketch the FASTA or FASTQ files that have arrived in ``folder``."""
     if format not in SUFFIXES:
@@ -136,5 +134,5 @@ def start_file_stream(
         stream = fasta_lines(reader.text(folder))
         prepare = lambda lines: fasta_sequences(lines, k)
     return start_sketch_stream(
-        stream, state, checkpoint, k, params, min_level=min_level, prepare=prepare
+        stream, state, checkpoint, k, params, prepare=prepare
     )

@@ -223,8 +223,8 @@ def test_splitting_reads_over_files_changes_nothing(spark, tmp_path):
     records = some_records(90)
     one = write(tmp_path / "all.fq", fastq(records))
     parts = [write(tmp_path / f"p{i}.fq", fastq(records[i::4])) for i in range(4)]
-    whole = estimates(kmer_histogram_from_files(spark, one, 13, 5, r_exp=8, min_level=0))
-    assert estimates(kmer_histogram_from_files(spark, parts, 13, 5, r_exp=8, min_level=0)) == whole
+    whole = estimates(kmer_histogram_from_files(spark, one, 13, 5, r_exp=8))
+    assert estimates(kmer_histogram_from_files(spark, parts, 13, 5, r_exp=8)) == whole
 
 
 def test_file_column_names_the_input(spark, tmp_path):

@@ -106,8 +106,6 @@ def test_method_and_n_are_validated(spark):
         kmer_histogram(reads, 3, 3, method="guess")
     with pytest.raises(ValueError):
         kmer_histogram(reads, 3, -1, method="exact")
-    with pytest.raises(ValueError):
-        kmer_histogram(reads, 3, 3, min_level=-2)
 
 
 @pytest.mark.parametrize("large", ["true", "false"])

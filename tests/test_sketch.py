@@ -33,45 +33,36 @@ def rows(cells):
 
 @pytest.mark.parametrize("params", [SMALL, SketchParams(r_exp=8, hash="md5"), SketchParams(r_exp=8, copies=3, seed=5)])
 def test_merge_equals_sketch_of_union(spark, params):
-    whole = kmer_cells(frame(spark, READS), 15, params, min_level=0)
-    parts = [kmer_cells(frame(spark, READS[i::3]), 15, params, min_level=0) for i in range(3)]
+    whole = kmer_cells(frame(spark, READS), 15, params)
+    parts = [kmer_cells(frame(spark, READS[i::3]), 15, params) for i in range(3)]
     assert rows(merge_cells(*parts)) == rows(whole)
     assert rows(merge_cells(whole)) == rows(whole)
 
 
 def test_order_and_partitioning_do_not_matter(spark):
-    a = kmer_cells(frame(spark, READS), 15, SMALL, min_level=0)
-    b = kmer_cells(frame(spark, READS[::-1]).repartition(9), 15, SMALL, min_level=0)
+    a = kmer_cells(frame(spark, READS), 15, SMALL)
+    b = kmer_cells(frame(spark, READS[::-1]).repartition(9), 15, SMALL)
     assert rows(a) == rows(b)
 
 
 def test_preaggregation_changes_nothing(spark):
     reads = frame(spark, READS)
-    plain = kmer_cells(reads, 33, SMALL, min_level=0)
-    assert rows(kmer_cells(reads, 33, SMALL, min_level=0, preaggregate=True)) == rows(plain)
-
-
-def test_min_level_keeps_exactly_the_upper_levels(spark):
-    reads = frame(spark, READS)
-    full = rows(kmer_cells(reads, 15, SMALL, min_level=0))
-    for params, all_rows in ((SMALL, full),):
-        got = rows(kmer_cells(reads, 15, params, min_level=3))
-        assert [r for r in got if r[2] != MARK] == [r for r in all_rows if r[1] >= 3]
-        assert [r[:2] for r in got if r[2] == MARK] == [(c, level) for c in range(7) for level in range(3)]
+    plain = kmer_cells(reads, 33, SMALL)
+    assert rows(kmer_cells(reads, 33, SMALL, preaggregate=True)) == rows(plain)
 
 
 def test_cells_are_within_their_ranges(spark):
     params = SketchParams(r_exp=6, u_exp=9, copies=5)
-    for r in kmer_cells(frame(spark, READS), 15, params, min_level=0).collect():
+    for r in kmer_cells(frame(spark, READS), 15, params).collect():
         assert 0 <= r["copy"] < 5 and 0 <= r["level"] <= 63
         assert 0 <= r["col"] < 64 and 0 <= r["pos_min"] <= r["pos_max"] < 512
 
 
 def test_seeds_differ_and_repeat(spark):
     reads = frame(spark, READS)
-    one = rows(kmer_cells(reads, 15, SketchParams(r_exp=8, seed=1), min_level=0))
-    assert one == rows(kmer_cells(reads, 15, SketchParams(r_exp=8, seed=1), min_level=0))
-    assert one != rows(kmer_cells(reads, 15, SketchParams(r_exp=8, seed=2), min_level=0))
+    one = rows(kmer_cells(reads, 15, SketchParams(r_exp=8, seed=1)))
+    assert one == rows(kmer_cells(reads, 15, SketchParams(r_exp=8, seed=1)))
+    assert one != rows(kmer_cells(reads, 15, SketchParams(r_exp=8, seed=2)))
 
 
 def test_cell_value_rules(spark):
@@ -161,16 +152,6 @@ def test_sketches_of_unequal_inputs_merge(spark, sizes):
                 assert estimates(histogram_from_cells(merged, params, 3).orderBy("i")) == want
 
 
-def test_a_floor_without_proof_is_kept_by_a_merge(spark):
-    params = SketchParams(r_exp=8)
-    large, small = frame(spark, READS), frame(spark, READS[:3])
-    merged = merge_cells(kmer_cells(large, 21, params, min_level=4), kmer_cells(small, 21, params))
-    both = kmer_cells(large.unionByName(small), 21, params, min_level=4)
-    assert [estimates(histogram_from_cells(c, params, 3).orderBy("i")) for c in (merged, both)][0] == estimates(
-        histogram_from_cells(both, params, 3).orderBy("i")
-    )
-
-
 def test_no_estimate_from_a_level_without_room(spark):
     spark.conf.set("spark.sql.ansi.enabled", "true")
     params = SketchParams(r_exp=8)
@@ -181,7 +162,7 @@ def test_no_estimate_from_a_level_without_room(spark):
 
 def test_save_and_load(spark, tmp_path):
     params = SketchParams(r_exp=8, seed=3)
-    cells = kmer_cells(frame(spark, READS), 15, params, min_level=0)
+    cells = kmer_cells(frame(spark, READS), 15, params)
     save_sketch(cells, str(tmp_path / "s"), 15, params)
     back, k, found = load_sketch(spark, str(tmp_path / "s"))
     assert (k, found) == (15, params) and rows(back) == rows(cells)
@@ -219,7 +200,7 @@ def test_the_input_is_read_once_per_pass(spark, tmp_path):
     frame(spark, READS).write.parquet(str(tmp_path / "r"))
     reads = spark.read.parquet(str(tmp_path / "r"))
     assert plan_of(kmer_histogram(reads, 21, 8, method="exact")).count("FileScan") == 1
-    sketch = plan_of(kmer_histogram(reads, 21, 8, min_level=0))
+    sketch = plan_of(kmer_histogram(reads, 21, 8))
     assert sketch.count("FileScan") == 1
     assert "Join" not in sketch and "CartesianProduct" not in sketch
     weighted = sketch_cells(canonical_kmers(reads, 21), SMALL)
@@ -229,7 +210,7 @@ def test_the_input_is_read_once_per_pass(spark, tmp_path):
 def test_one_kmer_holding_most_rows(spark):
     """A hot k-mer saturates its cells; everything else is counted as before."""
     hot = frame(spark, ["A" * 521] * 140)  # 70,000 + occurrences of one 21-mer
-    cells = kmer_cells(frame(spark, READS).unionByName(hot), 21, SMALL, min_level=0)
+    cells = kmer_cells(frame(spark, READS).unionByName(hot), 21, SMALL)
     assert cells.agg(F.max("cnt")).first()[0] >= 140 * 501
     assert cells.where(cell_value().isNull() & (F.col("cnt") >= 65535)).groupBy("copy").count().count() == 7
     top = estimates(kmer_histogram(frame(spark, READS).unionByName(hot), 21, 3, r_exp=16))

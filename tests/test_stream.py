@@ -51,7 +51,7 @@ def test_stream_of_files_equals_batch(spark, tmp_path, small_splits, kind):
     run()
     write_files(inbox, kind, seqs[100:], 2)
     run()
-    batch = kmer_cells(read_sequences(spark, str(inbox), 13, format=kind), 13, PARAMS, min_level=0)
+    batch = kmer_cells(read_sequences(spark, str(inbox), 13, format=kind), 13, PARAMS)
     assert rows(stream_cells(spark, state)) == rows(batch)
     assert estimates(histogram_from_cells(stream_cells(spark, state), PARAMS, 3).orderBy("i")) == estimates(
         histogram_from_cells(batch, PARAMS, 3).orderBy("i")
@@ -61,8 +61,8 @@ def test_stream_of_files_equals_batch(spark, tmp_path, small_splits, kind):
 def test_a_repeated_batch_counts_once(spark, tmp_path):
     """The slot a batch reads is intact while it writes, so it can be redone."""
     state = str(tmp_path / "state")
-    first = kmer_cells(frame(spark, ["ACGTTGCAAT" * 4]), 7, PARAMS, min_level=0)
-    second = kmer_cells(frame(spark, ["GGATTCAGTA" * 4]), 7, PARAMS, min_level=0)
+    first = kmer_cells(frame(spark, ["ACGTTGCAAT" * 4]), 7, PARAMS)
+    second = kmer_cells(frame(spark, ["GGATTCAGTA" * 4]), 7, PARAMS)
 
     def write(batch_id, cells):
         cells.selectExpr("*", f"{batch_id}L as batch").write.mode("overwrite").parquet(slot(state, batch_id))
@@ -85,7 +85,7 @@ def test_any_streaming_frame_with_a_sequence_column(spark, tmp_path):
         stream, str(tmp_path / "s"), str(tmp_path / "p"), 33, PARAMS, preaggregate=True
     )
     query.awaitTermination()
-    batch = kmer_cells(frame(spark, seqs), 33, PARAMS, min_level=0)
+    batch = kmer_cells(frame(spark, seqs), 33, PARAMS)
     assert rows(stream_cells(spark, str(tmp_path / "s"))) == rows(batch)
 
 
