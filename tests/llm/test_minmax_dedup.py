@@ -1,0 +1,155 @@
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from helpers import LOW, document, frame, messy, tuples
+
+from merscope.llm import minmax_dedup
+from merscope.llm.shingles import shingle_sets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOW))
+    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set()
+
+
+def brute(rows):
+    sets = [(i, shingles(t)) for i, t, *_ in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, s), (b, t) in combinations(sets, 2):
+        if a is not None and b is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    out = [(i, len(s), None if i is None else root(i)) for i, s in sets]
+    return sorted(((i, n, c, i == c) for i, n, c in out), key=repr)
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for _ in range(round(len(words) * share)):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Chains and groups of near copies, shared passages, texts near the threshold on both sides."""
+    rng = random.Random(5)
+    rows, passage = messy(), [f"shared{i}" for i in range(40)]
+    for _ in range(14):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 6, 20, 60, 200]))]
+        for _ in range(rng.choice([1, 4, 12])):
+            rows.append(document(len(rows) + 100, " ".join(words)))
+            words = edited(rng, words, rng.choice([0, 0.01, 0.03, 0.05]))
+    for _ in range(30):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 8, 60]))]
+        rows.append(document(len(rows) + 100, " ".join(own + passage)))
+    return rows
+
+
+def test_against_brute_force(spark, corpus):
+    found = minmax_dedup.near_duplicates(frame(spark, corpus, clash=True))
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert tuples(found) == brute(corpus)
+
+
+def test_without_broadcasts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "MOST_BROADCAST", 0)
+    assert tuples(minmax_dedup.near_duplicates(frame(spark, corpus[:50]))) == brute(corpus[:50])
+
+
+def test_mates_of_a_bucket_that_do_not_link_with_its_first(spark):
+    """Two texts link with each other but not with the one of the smallest id in their buckets."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    far = edited(rng, base, 0.06)
+    rows = [document(1, " ".join(base)), document(2, " ".join(far)), document(3, " ".join(edited(rng, far, 0.01)))]
+    assert tuples(minmax_dedup.near_duplicates(frame(spark, rows))) == brute(rows)
+    assert brute(rows)[2][2] == 2
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rows = [document(4, "a b c d e f g"), document(4, "h i j k l m n"), document(9, "h i j k l m n"), document(4, "a b c d e f g")]
+    found = tuples(minmax_dedup.near_duplicates(frame(spark, rows)))
+    assert found == [(4, 4, 4, True)] * 3 + [(9, 4, 4, False)]
+
+
+def test_the_estimate_is_unbiased_and_varies_less():
+    """Minima and maxima of a permutation together beat as many minima alone."""
+    rng = np.random.default_rng(3)
+    errors, plain = [], []
+    for _ in range(60):
+        both, own = rng.integers(0, 1 << 63, 300, np.uint64), rng.integers(0, 1 << 63, 40, np.uint64)
+        a, b = np.unique(np.append(both, own[:20])), np.unique(np.append(both, own[20:]))
+        truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        x, y = minmax_dedup.extremes([a, b])
+        errors.append(minmax_dedup.estimated_similarity(x, y) - truth)
+        plain.append(minmax_dedup.estimated_similarity(x[:100], y[:100]) - truth)
+    assert abs(np.mean(errors)) < 0.02
+    # Half the variance but for chance, for the same number of evaluations.
+    assert np.var(errors) < 0.8 * np.var(plain)
+
+
+def test_extremes_do_not_depend_on_the_step(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 5, 700, 2, 90)]
+    want = minmax_dedup.extremes(sets)
+    for step in (1, 7, 64):
+        monkeypatch.setattr(minmax_dedup, "STEP", step)
+        assert np.array_equal(minmax_dedup.extremes(sets), want)
+    for found, row in zip(sets, want):
+        moved = [found * f + o for f, o in zip(minmax_dedup.FACTORS, minmax_dedup.OFFSETS)]
+        assert np.array_equal(row, np.array([m.min() for m in moved] + [m.max() for m in moved]))
+
+
+def test_a_band_holds_different_permutations():
+    for band in range(minmax_dedup.BANDS):
+        places = [band + row * minmax_dedup.BANDS for row in range(minmax_dedup.ROWS)]
+        assert len({p % minmax_dedup.PERMUTATIONS for p in places}) == minmax_dedup.ROWS
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(6)
+    for _ in range(80):
+        both, own = rng.integers(0, 1 << 63, 160, np.uint64), rng.integers(0, 1 << 63, 40, np.uint64)
+        values = minmax_dedup.extremes([np.unique(np.append(both, own[:20])), np.unique(np.append(both, own[20:]))])
+        keys = minmax_dedup.band_keys(values)
+        assert (keys[0] == keys[1]).any()
+        assert ((values & np.uint64(255))[0] == (values & np.uint64(255))[1]).sum() >= minmax_dedup.LEAST_AGREEING
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(120)]
+    rows = [document(i, " ".join(edited(rng, base, 0.01))) for i in range(300)]
+    found = minmax_dedup.near_duplicates(frame(spark, rows))
+    assert {r["component_id"] for r in found.collect()} == {0}
+
+
+def test_one_of_each_group_stays(spark, corpus):
+    docs = frame(spark, corpus, clash=True)
+    kept = minmax_dedup.drop_near_duplicates(docs)
+    want = sorted((i for i, _, c, _ in brute(corpus) if i is None or i == c), key=repr)
+    assert set(kept.columns) == set(docs.columns)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == want
+
+
+def test_empty_table(spark):
+    assert minmax_dedup.near_duplicates(frame(spark, [])).count() == 0
+    assert minmax_dedup.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_sets_come_from_whole_texts():
+    (found,) = shingle_sets(pa.array([" ".join(f"w{i}" for i in range(300_000))]))
+    assert len(found) == 299_997
