@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import document, frame, messy, words
 
@@ -141,3 +143,18 @@ governing permissions and limitations under the License."""
 )
 def test_wording_altered_after_the_opening_is_refused(text, labels):
     assert ls.Scanner(ls.TEMPLATES).scan(text)[5] == labels
+
+
+def test_places_in_spans():
+    rng = random.Random(4)
+    for _ in range(200):
+        spans = [(a, a + rng.randrange(6), "x") for a in (rng.randrange(40) for _ in range(rng.randrange(8)))]
+        places = [rng.randrange(45) for _ in range(rng.randrange(12))]
+        assert ls.count_inside(places, spans) == sum(any(a <= p < b for a, b, _ in spans) for p in places)
+
+
+def test_a_notice_repeated_many_times():
+    """Time in proportion to the text: a test of every place against every span would not end."""
+    scanner = ls.Scanner(ls.TEMPLATES)
+    found = scanner.scan("released under the mit license. " * 200_000)
+    assert found[0] == 1_000_000 and found[1] == 200_000
