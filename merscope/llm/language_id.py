@@ -17,6 +17,7 @@ from merscope.llm.batches import bound_batches
 
 # Bounds of the sample that the dictionaries are made of.
 TEXTS_PER_LANGUAGE = 128
+DRAW_BUCKETS = 64
 CHARS_PER_TEXT, CHARS_PER_PIECE = 768, 128
 DICTIONARY_BYTES = 48 << 10
 # Languages whose compressors a task holds at a time.
@@ -70,6 +71,12 @@ def spread_text(text: Column) -> Column:
     return pieces(text)
 
 
+def lowest(drawn: DataFrame, *by: str) -> DataFrame:
+    """The ``TEXTS_PER_LANGUAGE`` rows of lowest ``draw`` for each value of ``by``."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("draw"))
+    return drawn.withColumn("rank", rank).where(F.col("rank") <= TEXTS_PER_LANGUAGE).drop("rank")
+
+
 def fit_dictionaries(labelled: DataFrame) -> Dictionaries:
     """Dictionaries from ``(text, lang)`` rows.
 
@@ -82,8 +89,9 @@ def fit_dictionaries(labelled: DataFrame) -> Dictionaries:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     hashed = rows.select("lang", "text", F.xxhash64("text").alias("draw"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    drawn = hashed.select("lang", "draw").distinct().withColumn("rank", rank).where(F.col("rank") <= TEXTS_PER_LANGUAGE)
+    # The lowest of each bucket first, so that no task sees all hashes of a language.
+    parted = hashed.select("lang", "draw", F.pmod("draw", F.lit(DRAW_BUCKETS)).alias("bucket")).distinct()
+    drawn = lowest(lowest(parted, "lang", "bucket"), "lang")
     last = drawn.groupBy("lang").agg(F.max("draw").alias("last"))
     texts = hashed.join(F.broadcast(last), "lang").where(F.col("draw") <= F.col("last"))
     sample = texts.select("lang", "draw", spread_text(F.col("text")).alias("piece")).groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
