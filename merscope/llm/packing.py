@@ -25,8 +25,8 @@ CAPACITY = 2048
 # Pieces longer than capacity / parts are large and go into that many groups.
 # Each pair is tried, on the counts alone, and the plan of fewest sequences kept.
 SCHEMES = ((3, 64), (4, 200), (6, 128))
-# Hash buckets that the ranks of one length are counted in.
-BUCKETS = 32
+# Pieces of one length whose ranks are counted in one hash bucket, about.
+PER_BUCKET = 1 << 18
 
 
 # --- the plan: counts of lengths only -----------------------------------------
@@ -70,15 +70,20 @@ def best_configuration(sizes: list[int], value: np.ndarray, capacity: int) -> np
 def optimal_configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often to use each, by the linear program of cutting stock.
 
-    Columns are generated by the knapsack (Gilmore and Gomory); there are as
-    many configurations in use as sizes.
+    Columns are generated by the knapsack (Gilmore and Gomory) until none has
+    a price above 1, which proves those in use optimal; there are as many as
+    sizes. The needs are moved by less than a thousandth of a piece, each by
+    another part of it, so that no step is empty and the steps do not go round.
+    Should rounding errors let a configuration come back that is in use, it
+    ends there too.
     """
     columns = np.diag([float(capacity // s) for s in sizes])
-    used = np.array(need, float) / np.diag(columns)
-    for _ in range(200):
+    moved = np.array(need, float) + 1e-3 * np.random.default_rng(7).random(len(sizes))
+    used = moved / np.diag(columns)
+    while True:
         price = np.linalg.solve(columns.T, np.ones(len(sizes)))
         fresh = best_configuration(sizes, price, capacity)
-        if price @ fresh <= 1 + 1e-7:
+        if price @ fresh <= 1 + 1e-7 or (columns == fresh[:, None]).all(axis=0).any():
             break
         pace = np.linalg.solve(columns, fresh)
         limits = np.where(pace > 1e-9, used / np.where(pace > 1e-9, pace, 1), np.inf)
@@ -249,17 +254,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     return docs.select("doc_id", "text").mapInArrow(cut, fields)
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     """Adds ``rank``, from 0, of each piece among those of its length.
 
-    Ranks are counted in hash buckets, so that a length which most pieces
-    share is spread; the counts of the buckets, of which there are at most
-    ``CAPACITY * BUCKETS``, are broadcast.
+    Ranks are counted in hash buckets, of which a length has as many as its
+    count asks for, so that one that most pieces share is spread. The numbers
+    of buckets and where each begins are broadcast: a row for each length and
+    one for every ``PER_BUCKET`` pieces.
     """
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
-    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    many = [(length, n // PER_BUCKET + 1) for length, n in counts.items()]
+    buckets = pieces.sparkSession.createDataFrame(many, "length bigint, buckets bigint")
+    place = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
+    keyed = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", place).drop("buckets")
+    sizes = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     return (
         keyed.withColumn("within", within)
@@ -289,17 +298,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wi
     """One row per piece with its ``sequence_id`` and ``offset``.
 
     Within a sequence pieces stand gapless from 0. Texts are tokenized once;
-    the pieces are kept in the shared scratch folder. Null text is empty and
+    the pieces are kept in the shared scratch folder. Pieces that fill a
+    sequence stay where they are. Null text is empty and
     gives the piece of a final 0; repeated rows and null ids are documents of
     their own; an empty table gives no rows; other columns are not read.
     """
     pieces = saved(token_pieces(docs, tokenizer, capacity, with_ids))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = look_up(plan_packing(counts, capacity))
-    placed = ranked(pieces).withColumn("place", place("length", "rank"))
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "place.sequence_id", "place.offset"
-    )
+    counts.pop(capacity, None)
+    plan = plan_packing(counts, capacity)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    # A piece that fills a sequence needs no rank: any number of its own will do.
+    own = F.lit(plan.sequences).cast("bigint") + F.monotonically_increasing_id()
+    full = pieces.where(F.col("length") == capacity).select(*columns, own.alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    if not counts:
+        return full
+    shorter = ranked(pieces.where(F.col("length") < capacity), counts)
+    placed = shorter.withColumn("place", look_up(plan)("length", "rank"))
+    return placed.select(*columns, "place.sequence_id", "place.offset").unionByName(full)
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:

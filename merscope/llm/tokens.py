@@ -15,6 +15,8 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 JOINED = 1_000
 MOST_CHUNKS, MOST_PIECES = 400_000, 400_000
+# Longer chunks are not remembered, so that the bound on their number is one on their bytes.
+LONGEST = 256
 
 
 class CachedEncoder:
@@ -77,10 +79,12 @@ class CachedEncoder:
         try:
             return b"".join([self.chunks[w] for w in words])
         except KeyError:
-            self.learn({w for w in words if w not in self.chunks})
+            self.learn({w for w in words if len(w) <= LONGEST and w not in self.chunks})
             return b"".join([self.chunks[w] if w in self.chunks else self.relearn(w) for w in words])
 
     def relearn(self, chunk: str) -> bytes:
-        """A chunk forgotten when the bound was reached."""
+        """A chunk that is too long to be remembered, or was forgotten when the bound was reached."""
+        if len(chunk) > LONGEST:
+            return self.direct(chunk)
         self.learn({chunk})
         return self.chunks[chunk]

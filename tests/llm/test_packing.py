@@ -3,6 +3,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from helpers import document, frame, messy
@@ -114,3 +115,34 @@ def test_few_sequences():
     counts = Counter(min(2048, int(rng.lognormvariate(6.3, 1))) or 1 for _ in range(20_000))
     plan = packing.plan_packing(dict(counts))
     assert plan.sequences <= 1.02 * sum(s * n for s, n in counts.items()) / 2048
+
+
+def test_configurations_are_optimal():
+    """No configuration has a price above 1, whatever the number of sizes."""
+    rng = random.Random(8)
+    for count in (3, 40, 150):
+        sizes = sorted(rng.sample(range(350, 2048), count), reverse=True)
+        need = [rng.randrange(1, 400) for _ in sizes]
+        found = packing.optimal_configurations(sizes, need, 2048)
+        columns = np.array([taken for taken, _ in found]).T
+        assert all(taken @ sizes <= 2048 for taken, _ in found)
+        assert np.allclose(columns @ [times for _, times in found], need, atol=0.01)
+        price = np.linalg.solve(columns.T, np.ones(count))
+        assert price @ packing.best_configuration(sizes, price, 2048) <= 1 + 1e-6
+
+
+def test_lengths_that_most_pieces_share(spark, monkeypatch):
+    """Ranks counted in many buckets are those of one count; full pieces get numbers of their own."""
+    monkeypatch.setattr(packing, "PER_BUCKET", 7)
+    rows = [document(i, "same text again") for i in range(300)] + [document(900 + i, "word " * 64) for i in range(9)]
+    found = packing.pack_documents(frame(spark, rows), PATH, capacity=32).collect()
+    check_layout(found, 32)
+    full = [r for r in found if r["length"] == 32]
+    assert len(full) == 18 and len({r["sequence_id"] for r in full}) == 18
+
+
+def test_long_chunks_are_not_remembered(encoder):
+    long = "ab" * 5000
+    raw = encoder.encode(f"{long} tail {long}1")
+    assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == direct(f"{long} tail {long}1")
+    assert max(map(len, encoder.chunks)) <= tokens.LONGEST
