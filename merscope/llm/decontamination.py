@@ -7,76 +7,123 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merscope.llm.scratch import saved
 from merscope.llm.words import BETWEEN, WORD, word_array
 
 SPAN = 13
-# Windows in one broadcast: about 40 MB of words. A larger benchmark is
-# scanned for in more blocks, each of at most about this many.
-BLOCK = 200_000
+# Windows in one broadcast, a hash and a length each: about 50 MB in memory. A
+# larger benchmark is scanned for in more blocks, each of at most about this many.
+BLOCK = 1_000_000
+# Rows of documents' keys, or of hits, whose broadcast is allowed.
+MOST_BROADCAST = 1_000_000
+
+
+def stretch(words: Column, at: Column, many: Column) -> Column:
+    """``many`` words from place ``at``, from 1. Taken one by one: ``slice`` reads the whole array each time."""
+    places = F.when(many > 0, F.sequence(at, at + many - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.get(words, i - 1))
 
 
 def cut(words: Column, length: int) -> Column:
-    """All windows of ``length`` words as ``array<struct<at, len, hash>>``, ``at`` from 1."""
+    """All windows of ``length`` words as ``array<struct<at, len, hash>>``, ``at`` from 1.
+
+    The hash is that of the array of a window's words, which chains theirs.
+    """
     starts = F.sequence(F.lit(1), F.size(words) - (length - 1))
     window = F.transform(
         starts,
-        lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.xxhash64(F.slice(words, i, length)).alias("hash")),
+        lambda i: F.struct(
+            i.alias("at"), F.lit(length).alias("len"), F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(length)]).alias("hash")
+        ),
     )
     return F.when(F.size(words) >= length, window).otherwise(F.array().cast("array<struct<at:int,len:int,hash:bigint>>"))
 
 
 def test_windows(benchmark: DataFrame, span: int) -> DataFrame:
-    """Distinct windows of the benchmark: ``(hash, len, win, items)``.
+    """Windows of the benchmark with the items they are of: ``(hash, len, win, item)``.
 
-    An item of fewer than ``span`` words is one window. ``items`` holds the
-    ids, as strings, of the items with that window; null ids are left out.
+    An item of fewer than ``span`` words is one window. ``item`` is the id as
+    a string; a null id stays null.
     """
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("words"))
     size = F.size("words")
     starts = F.sequence(F.lit(1), F.greatest(size - (span - 1), F.lit(1)))
-    windows = words.where(size > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, span))).alias("win"))
-    return windows.groupBy("win").agg(F.collect_set("item").alias("items")).select(
-        F.xxhash64("win").alias("hash"), F.size("win").alias("len"), "win", "items"
-    )
+    windows = words.where(size > 0).select("item", F.explode(F.transform(starts, lambda i: stretch(F.col("words"), i, F.least(F.lit(span), size + 1 - i)))).alias("win"))
+    return windows.distinct().select(F.xxhash64("win").alias("hash"), F.size("win").alias("len"), "win", "item")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """``(doc_id, text_hash, n_words, copies, hits, items)`` for each document.
+def keyed(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
+
+
+def scanned(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, n_words, at, len, hash)`` of the windows whose hash a test window has.
 
     Every window of every text is hashed and looked up in a broadcast hash
-    set of the benchmark's; a match of hashes is verified word by word. Each
-    document also sends one row without a window, so that it is in the result
-    when nothing matches, and the text is read once. Only matches and those
-    rows are shuffled. ``copies`` counts rows alike in id and text.
+    set. A window's row holds no words, so the work is in proportion to the
+    text. Each row of ``docs`` also gives one row without a window, ``at`` 0,
+    so that it is in the result when nothing matches.
     """
-    tests = test_windows(benchmark, span)
-    sized = tests.agg(F.count(F.lit(1)).alias("n"), F.collect_set("len").alias("lens")).first()
+    keys = saved(tests.select("hash", "len").distinct())
+    sized = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set("len").alias("lens")).first()
     blocks = max(1, -(-sized["n"] // BLOCK))
-    texts = docs.select(
-        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), word_array(F.col("text")).alias("words")
-    )
+    # The number of words is taken here: above the windows it would need the words in each row.
+    texts = docs.select(*keyed(docs), word_array(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     mark = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("hash")))
     windows = [cut(F.col("words"), length) for length in sorted(sized["lens"])]
 
     def scan(block: int) -> DataFrame:
         every = F.concat(mark, *windows) if block == 0 else F.concat(*windows)
-        rows = texts.select("doc_id", "text_hash", "words", F.size("words").alias("n_words"), F.inline(every))
-        part = F.broadcast(tests.where(F.pmod("hash", F.lit(blocks)) == block).withColumnsRenamed({"hash": "key", "len": "length"}))
-        same = (
-            (F.col("hash") == F.col("key"))
-            & (F.col("len") == F.col("length"))
-            & (F.slice("words", F.when(F.col("at") < 1, 1).otherwise(F.col("at")), F.col("len")) == F.col("win"))
-        )
-        return rows.join(part, same, "left").where((F.col("at") == 0) | F.col("win").isNotNull()).select(
-            "doc_id", "text_hash", "n_words", "at", "len", "items"
-        )
-
-    found = reduce(DataFrame.unionByName, [scan(b) for b in range(blocks)])
-    return found.groupBy("doc_id", "text_hash").agg(
+        rows = texts.select("doc_id", "text_hash", "n_words", F.inline(every))
+        part = F.broadcast(keys.where(F.pmod("hash", F.lit(blocks)) == block).withColumnsRenamed({"hash": "key", "len": "length"}))
+        same = (F.col("hash") == F.col("key")) & (F.col("len") == F.col("length"))
+        return rows.join(part, same, "left").where((F.col("at") == 0) | F.col("key").isNotNull()).drop("key", "length")
+
+    return saved(reduce(DataFrame.unionByName, [scan(b) for b in range(blocks)]))
+
+
+def verified(docs: DataFrame, tests: DataFrame, found: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, at, len, hash, win)`` of the windows found that equal a test window word by word.
+
+    The documents with a match are read again; in each, its matches alone are
+    cut out, and these rows of a window's words meet the test windows.
+    """
+    by_text = saved(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("many"), F.collect_set(F.struct("at", "len", "hash")).alias("hits")))
+    few = (by_text.agg(F.sum("many")).first()[0] or 0) <= MOST_BROADCAST
+    hits = by_text.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("text_key"), "hits")
+    texts = docs.select(*keyed(docs), F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("text_key"))
+    again = texts.join(F.broadcast(hits) if few else hits, same).select("doc_id", "text_hash", word_array(F.col("text")).alias("words"), "hits")
+    cut_out = F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["len"].alias("len"), h["hash"].alias("hash"), stretch(F.col("words"), h["at"], h["len"]).alias("win")))
+    rows = again.select("doc_id", "text_hash", F.inline(cut_out))
+    return saved(rows.join(tests.select("hash", "len", "win").distinct(), ["hash", "len", "win"], "left_semi").distinct())
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
+    """``(doc_id, text_hash, n_words, copies, hits, items)`` for each document.
+
+    ``hits`` are the verified windows as ``(at, len)``, ``items`` the ids of
+    the benchmark items with one of them. ``copies`` counts rows alike in id
+    and text. Items are joined to the hits last: neither a broadcast nor the
+    scan carries them, however many items share a window.
+    """
+    tests = saved(test_windows(benchmark, span))
+    seen = scanned(docs, tests)
+    true = verified(docs, tests, seen.where("at > 0"))
+    items = true.join(tests, ["hash", "len", "win"]).where(F.col("item").isNotNull()).select("doc_id", "text_hash", "item").distinct()
+    hit = F.struct("at", "len")
+    none = F.lit(None)
+    rows = (
+        seen.where("at = 0")
+        .select("doc_id", "text_hash", "n_words", none.cast("struct<at:int,len:int>").alias("hit"), none.cast("string").alias("item"))
+        .unionByName(true.select("doc_id", "text_hash", hit.alias("hit")), allowMissingColumns=True)
+        .unionByName(items, allowMissingColumns=True)
+    )
+    return rows.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
-        F.count_if(F.col("at") == 0).alias("copies"),
-        F.array_sort(F.collect_set(F.when(F.col("at") > 0, F.struct("at", "len")))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.count("n_words").alias("copies"),
+        F.array_sort(F.collect_set("hit")).alias("hits"),
+        F.collect_set("item").alias("items"),
     )
 
 
@@ -127,30 +174,50 @@ def whole(docs: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    rows, bad = whole(docs), contamination(docs, benchmark, span).where("contaminated")
-    same = rows.id.eqNullSafe(bad.doc_id) & (rows.text_key == bad.text_hash)
+    """The documents that are not contaminated, with their own columns.
+
+    Only the keys of the contaminated ones are joined, by a broadcast while
+    they are few, so that the documents stay where they are.
+    """
+    bad = saved(contamination(docs, benchmark, span).where("contaminated").select("doc_id", "text_hash").distinct())
+    rows = whole(docs)
+    bad = F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("text_hash"))
     return rows.join(bad, same, "left_anti").select("doc.*")
 
 
+def spared(hits: Column, words: Column) -> Column:
+    """The stretches of words outside all hits, as ``array<struct<at, many>>``; hits are sorted."""
+    kept = "array<struct<at:int,many:int>>"
+    begin = F.struct(F.lit(1).alias("next"), F.array().cast(kept).alias("kept"))
+
+    def add(s: Column, hit: Column) -> Column:
+        gap = F.struct(s["next"].alias("at"), (hit["at"] - s["next"]).alias("many"))
+        more = F.when(hit["at"] > s["next"], F.concat(s["kept"], F.array(gap))).otherwise(s["kept"])
+        return F.struct(F.greatest(s["next"], hit["at"] + hit["len"]).alias("next"), more.alias("kept"))
+
+    def close(s: Column) -> Column:
+        rest = F.struct(s["next"].alias("at"), (F.size(words) + 1 - s["next"]).alias("many"))
+        return F.concat(s["kept"], F.array(rest))
+
+    return F.aggregate(hits, begin, add, close)
+
+
 def cut_spans(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """All documents, without the hit words and what stands behind each of them."""
-    rows, hit = whole(docs), find_hits(docs, benchmark, span).where(F.size("hits") > 0)
-    same = rows.id.eqNullSafe(hit.doc_id) & (rows.text_key == hit.text_hash)
+    hit = saved(find_hits(docs, benchmark, span).where(F.size("hits") > 0).select("doc_id", "text_hash", "hits"))
+    few = (hit.agg(F.sum(F.size("hits"))).first()[0] or 0) <= MOST_BROADCAST
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("text_hash"))
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     words, gaps = F.array_remove(F.split(text, BETWEEN), ""), F.split(text, WORD, -1)
-    marked = F.aggregate(
-        "hits",
-        F.array().cast("array<int>"),
-        lambda seen, h: F.array_union(seen, F.sequence(h["at"], h["at"] + h["len"] - 1)),
-    )
-    pairs = F.zip_with(words, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda w, g: F.concat(w, g))
-    left = F.filter(F.transform(pairs, lambda p, i: F.when(~F.array_contains(F.col("marked"), i + 1), p)), lambda p: p.isNotNull())
-    cleaned = F.concat(F.element_at(gaps, 1), F.array_join(left, ""))
-    joined = rows.join(hit.select("doc_id", "text_hash", marked.alias("marked")), same, "left")
-    return joined.select(
+    joined = whole(docs).join(F.broadcast(hit) if few else hit, same, "left").withColumns({"words": words, "gaps": gaps})
+    pairs = F.zip_with("words", F.slice("gaps", 2, F.greatest(F.size("gaps") - 1, F.lit(0))), lambda w, g: F.concat(w, g))
+    paired = joined.withColumn("pairs", pairs)
+    left = F.flatten(F.transform(spared(F.col("hits"), F.col("words")), lambda s: stretch(F.col("pairs"), s["at"], s["many"])))
+    cleaned = F.concat(F.element_at("gaps", 1), F.array_join(left, ""))
+    return paired.select(
         *[
-            F.when(F.col("marked").isNull(), F.col("doc.text")).otherwise(cleaned).alias(c) if c == "text" else F.col(f"doc.`{c}`")
+            F.when(F.col("hits").isNull(), F.col("doc.text")).otherwise(cleaned).alias(c) if c == "text" else F.col(f"doc.`{c}`")
             for c in docs.columns
         ]
     )
