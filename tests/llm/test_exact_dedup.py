@@ -46,6 +46,21 @@ def test_each_document_stays_once_with_its_columns(spark):
     assert {1, 3, 6, 7, 8, 9} <= {r["doc_id"] for r in rows}
 
 
+def test_rows_of_the_document_that_stays(spark, monkeypatch):
+    """They are one, also where they differ in white space; beyond the broadcasts too."""
+    rows = [document(3, "a b"), document(3, "a  b"), document(3, "a b"), document(4, "a\tb"), document(3, "c"), document(None, "d"), document(None, "d")]
+    for most in (exact_dedup.MOST_BROADCAST, 0):
+        monkeypatch.setattr(exact_dedup, "MOST_BROADCAST", most)
+        kept = exact_dedup.drop_copies(frame(spark, rows, clash=True)).collect()
+        assert sorted((str(r["doc_id"]), norm(r["text"])) for r in kept) == [("3", "a b"), ("3", "c"), ("None", "d")]
+
+
+def test_documents_without_copies_are_not_moved(spark):
+    plan = exact_dedup.drop_copies(frame(spark, messy()))._jdf.queryExecution().executedPlan().toString()
+    anti = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert anti and all("BroadcastHashJoin" in line for line in anti)
+
+
 def test_empty_table(spark):
     empty = frame(spark, [])
     assert exact_dedup.exact_groups(empty).count() == 0
