@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merscope.llm.batches import bound_batches
+from merscope.llm.batches import small_batches
 from merscope.llm.components import components, near_labels
 from merscope.llm.scratch import saved
 from merscope.llm.shingles import mix, shingle_sets
@@ -153,11 +153,15 @@ def index_entries(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(token, rep, n, pos)`` of the plain prefixes of texts hot all through.
+    """``(token, rep, n, pos, indexed)`` of the plain prefixes of texts hot all through.
 
     Their whole sets are ordered by how many of these texts have a shingle,
     rarest first; ``pos`` is the place in that order. Shingles that one text
-    alone has take their places but make no entries.
+    alone has take their places but make no entries. The first shared shingle
+    of a pair that links is ``indexed`` on the side of the smaller set: it is
+    early enough for a partner of the text's own size. A list without an
+    indexed entry finds nothing and is left out; texts of one template, whose
+    own shingles fill these places, so have no lists to meet in.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -174,7 +178,14 @@ def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
     own = Window.partitionBy("rep", "n")
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("cnt", "token")) - 1
     overlap = F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100)
-    return saved(known.withColumn("pos", place).where(F.col("pos") <= F.col("n") - overlap).drop("cnt"))
+    early = F.col("pos") <= F.col("n") - overlap_of(F.col("n"), F.col("n"))
+    placed = saved(known.withColumn("pos", place).where(F.col("pos") <= F.col("n") - overlap).drop("cnt").withColumn("indexed", early))
+    return saved(placed.join(saved(placed.where("indexed").select("token").distinct()), "token"))
+
+
+def overlap_of(n_a: Column, n_b: Column) -> Column:
+    """Shingles that two sets of these sizes share at least if they link."""
+    return F.floor((F.lit(PERCENT) * (n_a + n_b) + 99 + PERCENT) / (100 + PERCENT))
 
 
 def can_link(n_a: Column, n_b: Column) -> Column:
@@ -187,8 +198,7 @@ def room_for_overlap(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) ->
     It holds for the first one of any pair that links, so a pair for which it
     fails at each shared shingle cannot link.
     """
-    needed = F.floor((F.lit(PERCENT) * (n_a + n_b) + 99 + PERCENT) / (100 + PERCENT))
-    return can_link(n_a, n_b) & (F.least(n_a - pos_a, n_b - pos_b) >= needed)
+    return can_link(n_a, n_b) & (F.least(n_a - pos_a, n_b - pos_b) >= overlap_of(n_a, n_b))
 
 
 def hub_pairs(entries: DataFrame, by_place: bool = False) -> DataFrame:
@@ -204,13 +214,14 @@ def hub_pairs(entries: DataFrame, by_place: bool = False) -> DataFrame:
     return pairs.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"))
 
 
-def open_pairs(entries: DataFrame, found: DataFrame, able: Column) -> DataFrame:
+def open_pairs(entries: DataFrame, found: DataFrame, able: Column, by_index: bool = False) -> DataFrame:
     """All pairs of list mates that are ``able`` and not in one component yet.
 
     Lists whose texts all are in one component, as those of a group of near
     copies, are left out as a whole. In the others the texts outside the
     list's largest component meet all texts of other components. Columns of
-    the two sides end in ``_a`` and ``_b``.
+    the two sides end in ``_a`` and ``_b``. With ``by_index`` one of the two
+    has to be ``indexed``.
     """
     parts = entries.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = saved(parts.withColumn("comp", F.coalesce("component", "rep")).drop("component"))
@@ -226,7 +237,11 @@ def open_pairs(entries: DataFrame, found: DataFrame, able: Column) -> DataFrame:
     left = open_lists.where("comp <> major").select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = open_lists.select("token", "major", *[F.col(c).alias(f"{c}_b") for c in columns])
     once = (F.col("comp_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
-    return left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & once & able)
+    if by_index:
+        met = left.where("indexed_a").join(right, "token").unionByName(left.where("NOT indexed_a").join(right.where("indexed_b"), "token"))
+    else:
+        met = left.join(right, "token")
+    return met.where((F.col("comp_a") != F.col("comp_b")) & once & able)
 
 
 def remaining_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -248,7 +263,7 @@ def remaining_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
 def remaining_dense_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
     """Candidates among the texts hot all through that are still apart."""
     able = room_for_overlap(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
-    return open_pairs(entries, found, able).select(*pair_columns())
+    return open_pairs(entries, found, able, by_index=True).select(*pair_columns())
 
 
 def pair_columns() -> list[Column]:
@@ -329,18 +344,18 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     nothing. A null id has no component and links nothing; rows that share an
     id are one document. Other columns are not read.
     """
-    bound_batches(docs.sparkSession)
-    measured = saved(features(docs))
-    linkable = measured.where("n > 0 AND doc_id IS NOT NULL")
     key = ["n", "sig_a", "sig_b"]
-    reps = saved(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")))
-    texts = docs.where(F.col("doc_id").isNotNull())
-    entries, hot_through = index_entries(reps)
-    dense = dense_entries(texts, hot_through)
-    first = verified(hub_pairs(entries).union(hub_pairs(dense, by_place=True)).distinct(), reps, texts)
-    joined = saved(near_labels(first))
-    rest = remaining_pairs(entries, joined).union(remaining_dense_pairs(dense, joined)).distinct()
-    found = components(first.union(verified(rest, reps, texts)))
+    with small_batches(docs.sparkSession):
+        measured = saved(features(docs))
+        linkable = measured.where("n > 0 AND doc_id IS NOT NULL")
+        reps = saved(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("head").alias("head")))
+        texts = docs.where(F.col("doc_id").isNotNull())
+        entries, hot_through = index_entries(reps)
+        dense = dense_entries(texts, hot_through)
+        first = verified(hub_pairs(entries).union(hub_pairs(dense, by_place=True)).distinct(), reps, texts)
+        joined = saved(near_labels(first))
+        rest = remaining_pairs(entries, joined).union(remaining_dense_pairs(dense, joined)).distinct()
+        found = components(first.union(verified(rest, reps, texts)))
     classes = reps.drop("head").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = classes.select(*key, F.coalesce("component", "rep").alias("component_id"))
     return (

@@ -66,6 +66,23 @@ def test_hot_shingles_lose_no_link(spark, corpus, monkeypatch):
     assert tuples(ngram_join.near_duplicate_components(frame(spark, corpus))) == brute(corpus)
 
 
+def test_texts_of_one_template_meet_in_no_list(spark, monkeypatch):
+    """Pages of a template with too many own words to link: the work stays linear, and nothing is linked."""
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(24)]
+        rows.append(document(i, " ".join(template[:100] + own + template[100:])))
+    docs = frame(spark, rows + [document(99, rows[5][1] + " end")])
+    found = ngram_join.near_duplicate_components(docs)
+    assert tuples(found) == brute(rows + [document(99, rows[5][1] + " end")])
+    ids = docs.select("doc_id").distinct()
+    entries = ngram_join.dense_entries(docs, ids)
+    assert entries.where("indexed").select("token").distinct().count() == entries.select("token").distinct().count() < 60
+
+
 def test_shuffled_verification_gives_the_same(spark, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 0)
     assert tuples(ngram_join.near_duplicate_components(frame(spark, corpus[:60]))) == brute(corpus[:60])
