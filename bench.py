@@ -13,6 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from merscope.operators.blocks import blocks_of_reads  # noqa: E402
 from merscope.operators.estimate import histogram_from_cells  # noqa: E402
 from merscope.operators.exact import distinct_kmers, kmer_counts  # noqa: E402
 from merscope.operators.kmers import canonical_kmers  # noqa: E402
@@ -23,6 +24,7 @@ from merscope.session import build_session  # noqa: E402
 from merscope.sources.derived import lineitem_reads  # noqa: E402
 from merscope.sources.reads import read_sequences  # noqa: E402
 from merscope.plans.scratch import scratch_dir  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -37,8 +39,12 @@ def queries(spark):
         files[kind] = scratch_dir(spark)
         text(spark, SF_DIR).write.text(files[kind])
 
-    def from_file(kind, k):
-        return kmer_histogram(read_sequences(spark, files[kind], k, format=kind), k, 8, method="exact")
+    def from_file(kind, k, reader="text"):
+        return kmer_histogram(read_sequences(spark, files[kind], k, format=kind, reader=reader), k, 8, method="exact")
+
+    def in_rows(k):
+        """The sketch as one row a cell."""
+        return histogram_from_cells(kmer_cells(reads, k), SketchParams(), 8)
 
     return {
         "exact_k21": lambda: kmer_histogram(reads, 21, 8, method="exact"),
@@ -52,9 +58,20 @@ def queries(spark):
         "distinct_k21": lambda: distinct_kmers(canonical_kmers(reads, 21)),
         "fastq_k21": lambda: from_file("fastq", 21),
         "fasta_k21": lambda: from_file("fasta", 21),
+        "fastq_ranges_k21": lambda: from_file("fastq", 21, "ranges"),
+        "fasta_ranges_k21": lambda: from_file("fasta", 21, "ranges"),
+        "sketch_rows_k21": lambda: in_rows(21),
     }
 
 
+def sent_by_tasks(spark, k, **size):
+    """Rows and bytes of the blocks that the tasks send into the shuffle, and how many are marks without cells."""
+    blocks = blocks_of_reads(lineitem_reads(spark, SF_DIR), k, SketchParams(**size))
+    arrays = sum((F.octet_length(c) for c in ("cols", "low", "high", "cnt")), F.lit(0))
+    row = blocks.agg(F.count(F.lit(1)).alias("rows"), F.sum(arrays).alias("bytes"), F.count_if("full").alias("marks")).first()
+    return row.asDict()
+
+
 def main() -> None:
     spark = build_session(
         "merscope-bench",
@@ -108,6 +125,7 @@ def main() -> None:
                 "relative_error": errors,
                 "mean_error_over_seeds_k21": over_seeds,
                 "cells_k21": cells,
+                "sent_k21": {f"r{r}": sent_by_tasks(spark, 21, r_exp=r) for r in (12, 19)},
             }
         )
     )

@@ -13,7 +13,9 @@ from pyspark.errors import AnalysisException
 from merscope.functions.hashing import MAX_LEVEL
 from merscope.plans.histogram import METHODS, kmer_histogram_from_files
 from merscope.plans.report import parameter_line, write_report
+from merscope.plans.telemetry import RunCounts
 from merscope.session import build_session
+from merscope.sources.reads import READERS
 
 USAGE = (
     "Usage: python -m merscope -k LENGTH -f FREQUENCIES -o REPORT -i FILE [FILE ...]\n"
@@ -32,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--copies", type=int, default=7, help="independent sketch copies (odd)")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--prove-files", type=int, default=0, help="leading files to prove full sketch levels with")
+    p.add_argument("--reader", choices=READERS, default="text", help="how files are read: see read_sequences")
     p.add_argument("--master", default=None, help="Spark master, if not set elsewhere")
     return p
 
@@ -78,6 +81,7 @@ def main(argv: list[str] | None = None) -> int:
     print(time.ctime(began))
     for name in args.i:
         print(f"input: {name}", flush=True)
+    counts = RunCounts()
     try:
         histogram = kmer_histogram_from_files(
             spark,
@@ -88,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
             r_exp=args.r_exp,
             copies=args.copies,
             seed=args.seed,
+            reader=args.reader,
+            counts=counts,
             **({"prove_files": args.prove_files} if args.prove_files else {}),
         )
     except (ValueError, AnalysisException) as error:
@@ -98,6 +104,7 @@ def main(argv: list[str] | None = None) -> int:
     ended = time.time()
     print(time.ctime(ended))
     print(f"finished after {ended - began:.0f} s")
+    print(counts.summary())
     if args.method == "sketch":
         cells = (MAX_LEVEL + 1) * args.copies << args.r_exp
         print(f"Sketch : at most {cells} cells over all executors")

@@ -18,6 +18,7 @@ from merscope.operators.exact import abundance_histogram, check_n, kmer_counts
 from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers
 from merscope.operators.segments import check_k
 from merscope.operators.sketch import SketchParams, full_levels, sketch_cells
+from merscope.plans.telemetry import RunCounts
 from merscope.sources.reads import read_sequences
 
 METHODS = ("sketch", "exact")
@@ -92,12 +93,15 @@ def kmer_histogram(
     hash: str = "xxhash64",
     prove_with: DataFrame | None = None,
     preaggregate: bool = False,
+    counts: RunCounts | None = None,
 ) -> DataFrame:
     """``histogram(i, est)`` ordered by i: F0 at i = 0, then f_1..f_n.
 
-    Always n+1 rows, zeros included, also for an empty input.
+    Always n+1 rows, zeros included, also for an empty input. ``counts`` is
+    told what the run has read.
     """
     check_k(k)
+    reads = counts.watch(reads, seq) if counts else reads
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method == "exact":
@@ -123,6 +127,7 @@ def kmer_histogram_from_files(
     *,
     format: str | None = None,
     prove_files: int = 0,
+    reader: str = "text",
     **options,
 ) -> DataFrame:
     """:func:`kmer_histogram` of FASTA/FASTQ files.
@@ -131,5 +136,5 @@ def kmer_histogram_from_files(
     ``prove_with``: only they are read twice.
     """
     if prove_files and not isinstance(paths, str):
-        options["prove_with"] = read_sequences(spark, list(paths)[:prove_files], k, format)
-    return kmer_histogram(read_sequences(spark, paths, k, format), k, n, **options)
+        options["prove_with"] = read_sequences(spark, list(paths)[:prove_files], k, format, reader=reader)
+    return kmer_histogram(read_sequences(spark, paths, k, format, reader=reader), k, n, **options)

@@ -6,6 +6,7 @@ from kmer_cases import SF, brute_histogram, brute_kmers, frame, random_seqs
 
 from merscope.cli import main
 from merscope.plans.histogram import kmer_histogram
+from merscope.plans.telemetry import RunCounts
 from merscope.plans.report import parameter_line, report_rows, report_text
 
 
@@ -37,6 +38,14 @@ def test_report_file(spark, tmp_path, reads, capsys):
     ]
     printed = capsys.readouterr().out
     assert "finished after" in printed and str(out) in printed
+    assert f"read: {len(seqs)} sequences, {sum(map(len, seqs))} bases, 0 other symbols" in printed
+
+
+@pytest.mark.parametrize("method", ["exact", "sketch"])
+def test_a_run_counts_what_it_reads(spark, method):
+    counts = RunCounts()
+    kmer_histogram(frame(spark, ["ACGTNNac", "", None, "T-GA"]), 3, 2, method=method, r_exp=8, counts=counts).collect()
+    assert counts.get() == {"sequences": 3, "symbols": 12, "bases": 9}
 
 
 def test_sketch_is_the_default_and_repeats(spark, tmp_path, reads):
