@@ -6,7 +6,10 @@ in either with a chance equal to their Jaccard similarity, and the two are
 negatively correlated, so that their mean is an unbiased estimate of lower
 variance than that of as many minima alone, at half the evaluations. The
 values are cut into ``BANDS`` bands of values of different permutations; sets
-that agree in a whole band are candidates, and whole sets decide.
+that agree in a whole band are candidates, and whole sets decide. Many sets
+can agree in a band and yet not link, as those of pages of one template; in
+such a crowded bucket only mates that also share a shingle rare among them, as
+any two that link must, are compared.
 
 A pair right at the threshold agrees in no band with a chance of
 (1 - 0.8 ** ROWS) ** BANDS = 1.2e-7, and has fewer than ``LEAST_AGREEING``
@@ -26,6 +29,8 @@ from pyspark.sql import types as T
 
 from merscope.llm.batches import small_batches
 from merscope.llm.components import components, near_labels
+from merscope.llm.ngram_join import dense_entries, remaining_dense_pairs
+from merscope.llm.ngram_join import hub_pairs as hubs_of_shingles
 from merscope.llm.scratch import saved
 from merscope.llm.shingles import mix, shingle_sets
 
@@ -36,6 +41,8 @@ ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 # Of the 2 * PERMUTATIONS values, how many must be equal for whole sets to be compared.
 LEAST_AGREEING = 120
+# A bucket that is open after the first round and has more sets than this is crowded.
+CROWD = 16
 # Shingles worked on at a time: they stay in the CPU's cache over all permutations.
 STEP = 1 << 15
 # Ids whose broadcast is allowed: 8 MB.
@@ -141,12 +148,12 @@ def hub_pairs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
     return pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def open_pairs(entries: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of bucket mates, neither the hub, that are in different components.
+def open_buckets(entries: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, rep, n, comp, major, size)`` of the buckets with sets of several components.
 
     A bucket whose sets all are in one component, as those of near copies, is
-    left out as a whole. In the others the sets outside the largest component
-    meet those of other components; the hub has met all of them.
+    left out as a whole. ``major`` is the largest component of a bucket; its
+    hub has met all of its sets and is left out.
     """
     own = saved(
         entries.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -156,18 +163,50 @@ def open_pairs(entries: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFr
     parts = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"))
     mixed = saved(
         parts.groupBy("key")
-        .agg(F.max(F.struct("many", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"))
+        .agg(F.max(F.struct("many", "comp")).alias("top"), F.sum("many").alias("size"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1")
-        .select("key", F.col("top.comp").alias("major"))
+        .select("key", F.col("top.comp").alias("major"), "size")
     )
-    rest = saved(own.join(mixed, "key").join(hubs, "key").where("rep <> hub").drop("hub", "hub_n"))
-    left = rest.where("comp <> major").select("key", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    right = rest.select("key", "major", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    return saved(own.join(mixed, "key").join(hubs, "key").where("rep <> hub").drop("hub", "hub_n"))
+
+
+def open_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs of mates of different components in buckets that are not crowded.
+
+    The sets outside the largest component meet those of other components.
+    """
+    few = rest.where(F.col("size") <= CROWD)
+    left = few.where("comp <> major").select("key", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
+    right = few.select("key", "major", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     once = (F.col("comp_b") == F.col("major")) | (F.col("rep_a") < F.col("rep_b"))
     pairs = left.join(right, "key").where((F.col("comp_a") != F.col("comp_b")) & once & can_link("n_a", "n_b"))
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
+def band_mates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that agree in a band."""
+    sides = [reps.select(F.col("rep").alias(s), F.col("bands").alias(f"bands_{s}")) for s in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b").distinct()
+
+
+def crowded_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Links between mates of crowded buckets that are still apart.
+
+    The shingles of their sets are ordered by how many of these sets have
+    them, rarest first. Two sets that link share one so early in that order
+    that the rest leaves room for the overlap, whatever else they share. Each
+    set first meets the one of fewest rarer shingles of each such shingle,
+    then those that are still apart after that meet.
+    """
+    ids = saved(rest.where(F.col("size") > CROWD).select(F.col("rep").alias("doc_id")).distinct())
+    entries = dense_entries(docs, ids, PERCENT)
+    early = linked(band_mates(hubs_of_shingles(entries, True, PERCENT).distinct(), reps), reps, docs)
+    now = saved(near_labels(first.union(early)))
+    late = linked(band_mates(remaining_dense_pairs(entries, now, PERCENT).distinct(), reps), reps, docs)
+    return early.union(late)
+
+
 def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Share of equal values: an unbiased estimate of the Jaccard similarity of two non-empty sets."""
     return float(np.mean(a == b))
@@ -224,7 +263,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents of equal sets are one class with the smallest id as its node; no
     pairs are made within it. Candidates are verified in two rounds: first
     each set with the first of each of its buckets, which joins groups of near
-    copies without their pairs, then the bucket mates that are still apart.
+    copies without their pairs, then the bucket mates that are still apart,
+    in crowded buckets those that share a rare shingle.
     Texts without words, and null texts, have no shingles and are linked with
     nothing. A null id has no component, links nothing and is kept; rows that
     share an id are one document and link by the text of any of them. An
@@ -240,7 +280,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         entries, hubs = buckets(reps)
         first = linked(hub_pairs(entries, hubs), reps, texts)
         labels = saved(near_labels(first))
-        found = components(first.union(linked(open_pairs(entries, hubs, labels), reps, texts)))
+        rest = open_buckets(entries, hubs, labels)
+        crowded = crowded_links(rest, reps, texts, first)
+        found = components(first.union(linked(open_pairs(rest), reps, texts)).union(crowded))
         classes = saved(
             reps.select(*key, "rep")
             .join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -152,8 +152,8 @@ def index_entries(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.where(emitted).drop("cnt"), hot_through
 
 
-def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(token, rep, n, pos, indexed)`` of the plain prefixes of texts hot all through.
+def dense_entries(docs: DataFrame, ids: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(token, rep, n, pos, indexed)`` of the plain prefixes of the texts in ``ids``, such as those hot all through.
 
     Their whole sets are ordered by how many of these texts have a shingle,
     rarest first; ``pos`` is the place in that order. Shingles that one text
@@ -177,31 +177,31 @@ def dense_entries(docs: DataFrame, ids: DataFrame) -> DataFrame:
     known = posted.join(shared_tokens(posted), "token")
     own = Window.partitionBy("rep", "n")
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("cnt", "token")) - 1
-    overlap = F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100)
-    early = F.col("pos") <= F.col("n") - overlap_of(F.col("n"), F.col("n"))
+    overlap = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    early = F.col("pos") <= F.col("n") - overlap_of(F.col("n"), F.col("n"), percent)
     placed = saved(known.withColumn("pos", place).where(F.col("pos") <= F.col("n") - overlap).drop("cnt").withColumn("indexed", early))
     return saved(placed.join(saved(placed.where("indexed").select("token").distinct()), "token"))
 
 
-def overlap_of(n_a: Column, n_b: Column) -> Column:
+def overlap_of(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
     """Shingles that two sets of these sizes share at least if they link."""
-    return F.floor((F.lit(PERCENT) * (n_a + n_b) + 99 + PERCENT) / (100 + PERCENT))
+    return F.floor((F.lit(percent) * (n_a + n_b) + 99 + percent) / (100 + percent))
 
 
-def can_link(n_a: Column, n_b: Column) -> Column:
-    return (100 * F.least(n_a, n_b)) >= (PERCENT * F.greatest(n_a, n_b))
+def can_link(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
+    return (100 * F.least(n_a, n_b)) >= (percent * F.greatest(n_a, n_b))
 
 
-def room_for_overlap(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+def room_for_overlap(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int = PERCENT) -> Column:
     """Whether two texts can link if their first shared shingle is at these places.
 
     It holds for the first one of any pair that links, so a pair for which it
     fails at each shared shingle cannot link.
     """
-    return can_link(n_a, n_b) & (F.least(n_a - pos_a, n_b - pos_b) >= overlap_of(n_a, n_b))
+    return can_link(n_a, n_b, percent) & (F.least(n_a - pos_a, n_b - pos_b) >= overlap_of(n_a, n_b, percent))
 
 
-def hub_pairs(entries: DataFrame, by_place: bool = False) -> DataFrame:
+def hub_pairs(entries: DataFrame, by_place: bool = False, percent: int = PERCENT) -> DataFrame:
     """Each text with one text of each of its lists: one pair an entry, however long the list.
 
     That is the text of the smallest id or, with ``by_place``, the one that has
@@ -209,7 +209,8 @@ def hub_pairs(entries: DataFrame, by_place: bool = False) -> DataFrame:
     """
     fields = ("pos", "rep", "n") if by_place else ("rep", "n", "pos")
     hubs = saved(entries.groupBy("token").agg(F.min(F.struct(*fields)).alias("hub")))
-    able = room_for_overlap(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")) if by_place else can_link(F.col("n"), F.col("hub.n"))
+    n, hub_n = F.col("n"), F.col("hub.n")
+    able = room_for_overlap(n, F.col("pos"), hub_n, F.col("hub.pos"), percent) if by_place else can_link(n, hub_n, percent)
     pairs = entries.join(hubs, "token").where((F.col("rep") != F.col("hub.rep")) & able)
     return pairs.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b"))
 
@@ -260,9 +261,9 @@ def remaining_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
     return matched.where("matches >= required").select("a", "b")
 
 
-def remaining_dense_pairs(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidates among the texts hot all through that are still apart."""
-    able = room_for_overlap(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
+def remaining_dense_pairs(entries: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidates of ``dense_entries`` that are still apart."""
+    able = room_for_overlap(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
     return open_pairs(entries, found, able, by_index=True).select(*pair_columns())
 
 

@@ -64,6 +64,30 @@ def test_against_brute_force(spark, corpus):
     assert tuples(found) == brute(corpus)
 
 
+def test_every_bucket_crowded(spark, corpus, monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "CROWD", 0)
+    assert tuples(minmax_dedup.near_duplicates(frame(spark, corpus, clash=True))) == brute(corpus)
+
+
+@pytest.fixture(scope="module")
+def template():
+    """Pages of one template that agree in bands; most do not link, some do with few others."""
+    rng = random.Random(13)
+    base = [f"t{i}" for i in range(120)]
+    pages = [edited(rng, base, rng.choice([0.01, 0.02, 0.05, 0.06])) for _ in range(60)]
+    pages += [edited(rng, page, 0.01) for page in pages[40:]]
+    rng.shuffle(pages)
+    return [document(i, " ".join(page)) for i, page in enumerate(pages)]
+
+
+@pytest.mark.parametrize("crowd", [1, 16, 10**9])
+def test_pages_of_one_template(spark, template, monkeypatch, crowd):
+    monkeypatch.setattr(minmax_dedup, "CROWD", crowd)
+    found = tuples(minmax_dedup.near_duplicates(frame(spark, template)))
+    assert found == brute(template)
+    assert len({component for _, _, component, _ in found}) > 3
+
+
 def test_without_broadcasts(spark, corpus, monkeypatch):
     monkeypatch.setattr(minmax_dedup, "MOST_BROADCAST", 0)
     assert tuples(minmax_dedup.near_duplicates(frame(spark, corpus[:50]))) == brute(corpus[:50])
