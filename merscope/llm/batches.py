@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-MOST_BYTES = 32 << 20
-# For operators whose Python steps all run while they are called.
-SMALL_BYTES = 4 << 20
+# A worker holds a batch as Arrow, as Python objects and as what is made of them.
+MOST_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession, most: int = MOST_BYTES) -> None:
@@ -25,9 +26,9 @@ def bound_batches(spark: SparkSession, most: int = MOST_BYTES) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Small Arrow batches for the jobs that are run inside; the session's own bound comes back."""
+    """Bounded Arrow batches for the jobs that are run inside; the session's own bound comes back."""
     before = spark.conf.get(SETTING, None)
-    bound_batches(spark, SMALL_BYTES)
+    bound_batches(spark)
     try:
         yield
     finally:
@@ -35,3 +36,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(SETTING)
         else:
             spark.conf.set(SETTING, before)
+
+
+def frees_memory(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A step on Arrow batches that gives back what Arrow has freed, as workers wait for later tasks."""
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from merscope.llm.batches import small_batches
+from merscope.llm.batches import frees_memory, small_batches
 from merscope.llm.components import components, near_labels
 from merscope.llm.scratch import saved
 from merscope.llm.shingles import mix, shingle_sets
@@ -69,6 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
     """``doc_id``, size and 128-bit signature of the shingle set, and the head of it in hash order."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @frees_memory
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, heads = [], [], [], []
@@ -165,6 +166,7 @@ def dense_entries(docs: DataFrame, ids: DataFrame, percent: int = PERCENT) -> Da
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    @frees_memory
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
@@ -303,6 +305,7 @@ def sets_link(set_a: pd.Series, set_b: pd.Series) -> pd.Series:
 def full_sets(docs: DataFrame) -> DataFrame:
     """``(rep, set)``: the whole sorted set, ``SET_BYTES`` of each hash."""
 
+    @frees_memory
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [
@@ -328,7 +331,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
     likely = saved(joined.where(heads_allow("n_a", "n_b", "head_a", "head_b")).select("a", "b"))
     ids = saved(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = full_sets(with_ids(docs, ids, "left_semi"))
+    # Written once, so that no task has workers for the sets of both sides and for the comparison.
+    sets = saved(full_sets(with_ids(docs, ids, "left_semi")))
     parts = [sets.select(F.col("rep").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab"]
     both = likely.join(parts[0], "a").join(parts[1], "b")
     return saved(both.where(sets_link("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
