@@ -14,7 +14,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 # White space to Python but not to the tokenizer.
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 JOINED = 1_000
-MOST_CHUNKS, MOST_PIECES = 400_000, 400_000
+MOST_CHUNKS, MOST_PIECES = 250_000, 150_000
 # Longer chunks are not remembered, so that the bound on their number is one on their bytes.
 LONGEST = 256
 
