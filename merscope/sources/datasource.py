@@ -2,8 +2,9 @@
 
 Options: ``path`` (or ``files``, a JSON list of paths), each a file, a folder
 or a pattern; ``k``, by whose k-1 the tiles of FASTA sequences overlap;
-``format``, ``fasta`` or ``fastq``, where names do not say it; ``splitBytes``.
-Rows are ``(file, seq)``. Files are opened by the tasks, through PyArrow's file
+``format``, ``fasta`` or ``fastq``, where names do not say it; ``splitBytes``;
+``tasks``, by which ranges are dealt out: where there are more of them, each
+task reads several, as long as that is no more than ``SPLIT_BYTES``. Rows are ``(file, seq)``. Files are opened by the tasks, through PyArrow's file
 systems where the path names one.
 """
 
@@ -27,6 +28,7 @@ from merscope.sources.ranges import sequences
 NAME = "merscope"
 SCHEMA = "file string, seq string"
 SPLIT_BYTES = 64 << 20
+TASKS = 256
 PATTERN = set("*?[")
 # Bytes above 127 are no bases; as one they end a segment like any other symbol.
 ASCII_ONLY = bytes(range(128)) + b"N" * 128
@@ -85,6 +87,30 @@ def ranges_of(path: str, size: int, kind: str, split_bytes: int) -> list[FileRan
     return [FileRange(path, kind, size * i // many, size * (i + 1) // many) for i in range(many)]
 
 
+@dataclass
+class RangeGroup(InputPartition):
+    """What one task reads."""
+
+    ranges: list[FileRange]
+
+
+def grouped_ranges(ranges: list[FileRange], tasks: int) -> list[RangeGroup]:
+    """Consecutive ranges in about ``tasks`` groups of about as many bytes, more where these would exceed ``SPLIT_BYTES``.
+
+    However small the ranges, the tasks, and with them the blocks of a shuffle that follows, do not outgrow the input.
+    """
+    size = sum(r.end - r.start for r in ranges)
+    tasks = max(tasks, -(-size // SPLIT_BYTES))
+    if len(ranges) <= tasks:
+        return [RangeGroup([r]) for r in ranges]
+    groups: dict[int, list[FileRange]] = {}
+    before = 0
+    for r in ranges:
+        groups.setdefault(before * tasks // size, []).append(r)
+        before += r.end - r.start
+    return [RangeGroup(g) for g in groups.values()]
+
+
 def range_batches(part: FileRange, k: int) -> Iterator[pa.RecordBatch]:
     system, inner = opened_system(part.path)
     file: BinaryIO = system.open_input_file(inner)
@@ -105,17 +131,19 @@ class SequenceReader(DataSourceReader):
         if self.format is not None and self.format not in SUFFIXES:
             raise ValueError(f"format must be one of {sorted(SUFFIXES)}")
         self.split_bytes = int(options.get("splitBytes", str(SPLIT_BYTES)))
+        self.tasks = int(options.get("tasks", str(TASKS)))
         self.paths = json.loads(options["files"]) if "files" in options else [options["path"]]
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[RangeGroup]:
         out = []
         for path in self.paths:
             for name, size in found_files(path):
                 out += ranges_of(name, size, self.format or file_format(name), self.split_bytes)
-        return out or [FileRange("", "fasta", 0, 0)]
+        return grouped_ranges(out, self.tasks) or [RangeGroup([])]
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        return range_batches(partition, self.k) if partition.end else iter(())
+    def read(self, partition: RangeGroup) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from range_batches(part, self.k)
 
 
 class SequenceFiles(DataSource):

@@ -18,9 +18,9 @@ import numpy as np
 
 from merscope.sources.fasta import letters
 
-# Bytes read at once, and the first step back in search of a line end.
+# Bytes read at once, and the first step back in search of a line end or on behind a range.
 CHUNK = 1 << 20
-LOOK_BACK = 1 << 14
+LOOK_BACK = LOOK_AHEAD = 1 << 14
 TILE = 1 << 15
 NEWLINE, RETURN, HEADER, PLUS, AT = 0x0A, 0x0D, 0x3E, 0x2B, 0x40
 GZIP_MAGIC = b"\x1f\x8b"
@@ -30,13 +30,15 @@ MEMBER_FLAGS = 0xE0
 
 
 def chunks(file: BinaryIO, start: int, stop: int | None = None) -> Iterator[bytes]:
-    """The bytes of ``[start, stop)``, or from ``start`` on."""
+    """The bytes of ``[start, stop)``, or from ``start`` on; then a little first, as that may do."""
     file.seek(start)
+    size = CHUNK if stop is not None else min(LOOK_AHEAD, CHUNK)
     while stop is None or start < stop:
-        data = file.read(CHUNK if stop is None else min(CHUNK, stop - start))
+        data = file.read(size if stop is None else min(size, stop - start))
         if not data:
             return
         start += len(data)
+        size = min(4 * size, CHUNK)
         yield data
 
 

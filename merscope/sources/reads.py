@@ -35,7 +35,8 @@ def is_local(path: str) -> bool:
 def read_ranges(spark: SparkSession, paths: list[str], k: int, format: str | None = None, split_bytes: int | None = None) -> DataFrame:
     """:func:`read_sequences` by the data source of ``sources.datasource``."""
     datasource.register(spark)
-    load = spark.read.format(datasource.NAME).option("k", k).option("files", json.dumps(paths))
+    tasks = max(datasource.TASKS, 4 * spark.sparkContext.defaultParallelism)
+    load = spark.read.format(datasource.NAME).option("k", k).option("files", json.dumps(paths)).option("tasks", tasks)
     for name, value in (("format", format), ("splitBytes", split_bytes)):
         load = load if value is None else load.option(name, value)
     return load.load()

@@ -138,3 +138,32 @@ def test_gzip_members_are_read_by_several_tasks(spark, tmp_path):
     reads = read_ranges(spark, [str(tmp_path / "a.fq.gz")], 21, split_bytes=len(data) // 5)
     busy = reads.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(busy) >= 4 and Counter(r["seq"] for r in reads.collect()) == Counter(seqs)
+
+
+@pytest.mark.parametrize("kind", ["fasta", "fastq"])
+def test_tasks_do_not_outgrow_the_input_however_small_the_ranges(spark, tmp_path, kind):
+    seqs = random_seqs(RNG, 300, 50, 150)
+    for name, some in (("a", seqs[:100]), ("b", seqs[100:])):
+        (tmp_path / name).write_text(fasta(some) if kind == "fasta" else fastq(some))
+    reads = read_ranges(spark, [str(tmp_path)], 9, kind, split_bytes=40)
+    assert 100 < reads.rdd.getNumPartitions() <= datasource.TASKS
+    assert kmers_of(reads, 9) == brute_kmers(seqs, 9)
+
+
+def test_little_is_read_behind_a_range(tmp_path):
+    from io import BytesIO
+
+    from merscope.sources import ranges
+
+    class Counted(BytesIO):
+        taken = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            self.taken += len(data)
+            return data
+
+    text = fastq(random_seqs(RNG, 40_000, 60, 60)).encode()
+    file = Counted(text)
+    found = [s for part in ranges.fastq_range(file, 500_000, 510_000, "x") for s in part]
+    assert found and file.taken < 60_000
