@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from merscope import kmer_histogram
 from merscope.operators.estimate import best_levels, cell_value, fj_estimate, histogram_from_cells, level_histogram
-from merscope.operators.kmers import canonical_kmers
+from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers
 from merscope.operators.sketch import (
     CELL_COLUMNS,
     CELL_SCHEMA,
@@ -217,3 +217,17 @@ def test_one_kmer_holding_most_rows(spark):
     truth = brute_histogram(brute_kmers(READS, 21), 3)
     for want, est in zip(truth, top):
         assert abs(est - want) <= 0.1 * want + 30
+
+
+@pytest.mark.parametrize("prove", [False, True])
+def test_few_kmers_are_counted_packed_before_they_are_spelled_and_hashed(spark, prove):
+    params = SketchParams(r_exp=6, hash="md5")
+    reads = frame(spark, READS)
+    cells = kmer_cells(reads, 11, params, prove_with=reads if prove else None)
+    plan = plan_of(cells)
+    assert plan.count("Exchange") >= 2 and "MapInArrow" in plan and plan.count("Generate") <= 2
+    plain = sketch_cells(canonical_kmer_strings(reads, 11), params)
+    if prove:
+        assert estimates(histogram_from_cells(cells, params, 8)) == estimates(histogram_from_cells(plain, params, 8))
+    else:
+        assert rows(cells) == rows(plain)
