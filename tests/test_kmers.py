@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from merscope import kmer_histogram
 from merscope.functions.bases import decode_words
 from merscope.operators.exact import abundance_histogram, distinct_kmers, kmer_counts
-from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers
+from merscope.operators.kmers import canonical_kmer_strings, canonical_kmers, counted_kmers
 from merscope.operators.segments import segments, tile_sequences
 
 RNG = random.Random(7)
@@ -128,3 +128,12 @@ def test_other_arrow_types_are_refused():
 
     with pytest.raises(TypeError):
         text_and_offsets(pa.array([1, 2]))
+
+
+@pytest.mark.parametrize("k", [1, 4, 11])
+def test_short_kmers_are_counted_in_the_tasks(spark, k):
+    seqs = random_seqs(random.Random(k), 300, 0, 400, "ACGTacgtN") + [None]
+    counts = counted_kmers(frame(spark, seqs).repartition(3), k)
+    assert "sum(cnt" in counts._jdf.queryExecution().executedPlan().toString()
+    got = {r["kmer"]: r["cnt"] for r in counts.select(decode_words(k).alias("kmer"), "cnt").collect()}
+    assert got == dict(brute_kmers([s for s in seqs if s], k))
