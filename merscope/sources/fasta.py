@@ -193,10 +193,12 @@ def fasta_sequences(lines: DataFrame, k: int, tile: int = TILE) -> DataFrame:
     return tiles.unionByName(border_sequences(edges, k))
 
 
-def read_fasta(spark: SparkSession, paths: list[str], k: int, **options) -> DataFrame:
+def read_fasta(spark: SparkSession, paths: list[str], k: int, tasks: int | None = None, **options) -> DataFrame:
     """``reads(file, seq)``: tiles that hold every k-mer of the files once.
 
     Wrapped lines are joined, LF, CR and CRLF alike. The first line of a file
-    is a header whether or not it begins with ``>``.
+    is a header whether or not it begins with ``>``. With ``tasks``, that many
+    read the input splits, one split after the other.
     """
-    return fasta_sequences(fasta_lines(spark.read.options(**options).text(paths)), k)
+    lines = fasta_lines(spark.read.options(**options).text(paths))
+    return fasta_sequences(lines.coalesce(tasks) if tasks else lines, k)

@@ -41,7 +41,8 @@ def fastq_sequences(raw: DataFrame, value: str = "value") -> DataFrame:
     return cut.select("file", F.explode(found).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """``reads(file, seq)`` of FASTQ files; header and quality are dropped."""
+def read_fastq(spark: SparkSession, paths: list[str], tasks: int | None = None, **options) -> DataFrame:
+    """``reads(file, seq)`` of FASTQ files; header and quality are dropped. ``tasks`` as in ``read_fasta``."""
     raw = spark.read.options(**options).text(paths, lineSep=RECORD_START)
-    return fastq_sequences(raw.select("value", F.col("_metadata.file_path").alias("file")))
+    named = raw.select("value", F.col("_metadata.file_path").alias("file"))
+    return fastq_sequences(named.coalesce(tasks) if tasks else named)

@@ -13,7 +13,7 @@ from merscope.sources import datasource
 from merscope.sources.fasta import read_fasta
 from merscope.sources.fastq import read_fastq
 from merscope.sources.formats import SUFFIXES, file_format
-from merscope.sources.spread import GZIP, GZIP_NAMES, OTHER_NAMES, spread, spread_gzip
+from merscope.sources.spread import GZIP, GZIP_NAMES, OTHER_NAMES, spread, spread_gzip, tasks_of
 
 # Hadoop picks a decompressor by file name; this one hands on the bytes of
 # names ending in .gz as they are. Spark's bundled Hadoop client knows the
@@ -86,7 +86,8 @@ def read_sequences(
             own = options | {"pathGlobFilter": names}
             splits = spark.read.options(**own).text(members).rdd.getNumPartitions()
             if splits:
-                found = read(spark, members, **own)
+                tasks = tasks_of(spark, splits)
+                found = read(spark, members, tasks=tasks if tasks < splits else None, **own)
                 parts.append(spread_gzip(found) if names == GZIP_NAMES else spread(found, splits))
     reads = parts[0] if parts else read_fastq(spark, paths, pathGlobFilter="")
     for part in parts[1:]:

@@ -325,3 +325,19 @@ def test_written_files_follow_the_partitions_of_the_table(spark, tmp_path, monke
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     written = [p for p in os.listdir(made[0].removeprefix("file:")) if p.startswith("part-")]
     assert len(written) > 4
+
+
+@pytest.mark.parametrize("kind", ["fasta", "fastq"])
+def test_many_small_splits_are_read_by_fewer_tasks(spark, tmp_path, small_splits, kind):
+    rng = random.Random(8)
+    seqs = ["".join(rng.choices("ACGTN", k=90)) for _ in range(400)]
+    for name, some in (("a", seqs[:150]), ("b", seqs[150:])):
+        form = ">r\n{0}\n" if kind == "fasta" else "@r\n{0}\n+\n{0}\n"
+        (tmp_path / name).write_text("".join(form.format(s) for s in some))
+    small_splits(50)
+    found = read_sequences(spark, str(tmp_path), 11, kind)
+    scans = 2 if kind == "fasta" else 1
+    assert found.rdd.getNumPartitions() <= 256 * scans
+    counts = canonical_kmers(found, 11).groupBy("kmer").count()
+    got = {r["kmer"]: r["count"] for r in counts.select(decode_words(11).alias("kmer"), "count").collect()}
+    assert got == dict(brute_kmers(seqs, 11))
