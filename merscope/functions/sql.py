@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql.udtf import UserDefinedTableFunction
-from pyspark.sql.functions import udtf
-
-from merscope.functions.bases import BASES, COMPLEMENTS
-from merscope.operators.packing import NOT_A_BASE, base_codes
 
-# Windows spelled out at a time.
-STEP = 1 << 12
+from merscope.functions.bases import BASES, COMPLEMENTS, NON_BASES
 
 SCALARS = {
     "normalised": f"translate(s, '{BASES.lower()}', '{BASES}')",
@@ -22,43 +13,24 @@ SCALARS = {
 }
 
 
-def spelled_kmers(text: bytes, k: int) -> Iterator[str]:
-    """The canonical k-mers of a sequence, as strings, in order."""
-    table, spelling = base_codes(), np.frombuffer(BASES.encode(), np.uint8)
-    raw = np.frombuffer(text, np.uint8)
-    for at in range(0, len(raw) - k + 1, STEP):
-        codes = table[raw[at : at + STEP + k - 1]]
-        windows = np.lib.stride_tricks.sliding_window_view(codes, k)
-        windows = windows[(windows != NOT_A_BASE).all(axis=1)]
-        forward = np.ascontiguousarray(spelling[windows])
-        backward = np.ascontiguousarray(spelling[3 - windows[:, ::-1]])
-        if len(windows):
-            there, back = (m.view(f"S{k}").ravel() for m in (forward, backward))
-            yield from np.where(there <= back, there, back).astype(f"U{k}").tolist()
-
-
-class Kmers:
-    """``kmers(seq, k)``: a row for each k-mer occurrence of a sequence; none of a null."""
-
-    def eval(self, seq: str, k: int) -> Iterator[tuple[str]]:
-        if k is None or k < 1:
-            raise ValueError(f"k must be a positive integer, got {k!r}")
-        if seq is not None:
-            for kmer in spelled_kmers(seq.encode(), k):
-                yield (kmer,)
-
-
-def kmers_function() -> UserDefinedTableFunction:
-    return udtf(Kmers, returnType="kmer string", useArrow=True)
+# Each run of bases and its reverse complement as bytes, of which a window is cut without a walk from the start. The
+# parts are handed on as lambda variables, so that each is made once.
+RUNS = f"""transform(filter(split(translate(s, '{BASES.lower()}', '{BASES}'), '{NON_BASES}'), run -> length(run) >= k),
+  run -> struct(CAST(run AS BINARY) AS there, CAST(reverse(translate(run, '{BASES}', '{COMPLEMENTS}')) AS BINARY) AS back))"""
+WINDOWS = f"""flatten(transform({RUNS}, run -> transform(sequence(1, length(run.there) - k + 1),
+  at -> CAST(least(substring(run.there, at, k), substring(run.back, length(run.there) - at - k + 2, k)) AS STRING))))"""
+# One generator over the arguments alone: Catalyst puts that in place of a lateral join, without a shuffle.
+KMERS = f"""SELECT explode(CASE WHEN k >= 1 THEN {WINDOWS}
+  ELSE raise_error('k must be a positive integer, got ' || coalesce(CAST(k AS STRING), 'NULL')) END) AS kmer"""
 
 
 def register_sql(spark: SparkSession) -> None:
     """Make ``kmers(seq, k)`` and the functions of ``SCALARS`` known to the session.
 
-    ``kmers`` is a table function for ``LATERAL``; it moves in Arrow batches
-    and stays in the task that has the sequence. The others are SQL functions,
-    which Catalyst puts in place.
+    ``kmers`` is a table function for ``LATERAL``: a row for each k-mer
+    occurrence of a sequence, none of a null; it stays in the task that has
+    the sequence. All are SQL functions, which Catalyst puts in place.
     """
-    spark.udtf.register("kmers", kmers_function())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kmers(s STRING, k INT) RETURNS TABLE(kmer STRING) RETURN {KMERS}")
     for name, body in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS STRING RETURN {body}")

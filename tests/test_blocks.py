@@ -199,3 +199,17 @@ def test_sql_functions(spark):
     assert tuple(row) == ("ACGTT", "AAA", "ACGTn")
     with pytest.raises(Exception, match="positive integer"):
         spark.sql("SELECT * FROM kmers('ACGT', 0)").collect()
+
+
+def test_sql_kmers_stay_in_their_task_without_python(spark):
+    from merscope.functions.sql import register_sql
+
+    register_sql(spark)
+    frame(spark, [*READS[:40], "ACGT" * 20_000, "é" * 40 + "acgtt"]).createOrReplaceTempView("reads_of_test")
+    found = spark.sql("SELECT kmer FROM reads_of_test, LATERAL kmers(seq, 5)")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "UDTF", "Join", "Exchange"))
+    want = brute_kmers([*READS[:40], "ACGT" * 20_000, "ACGTT"], 5)
+    assert {r["kmer"]: r["count"] for r in found.groupBy("kmer").count().collect()} == dict(want)
+    with pytest.raises(Exception, match="positive integer"):
+        spark.sql("SELECT kmer FROM reads_of_test, LATERAL kmers(seq, CAST(NULL AS INT))").collect()
