@@ -137,3 +137,34 @@ def test_short_kmers_are_counted_in_the_tasks(spark, k):
     assert "sum(cnt" in counts._jdf.queryExecution().executedPlan().toString()
     got = {r["kmer"]: r["cnt"] for r in counts.select(decode_words(k).alias("kmer"), "cnt").collect()}
     assert got == dict(brute_kmers([s for s in seqs if s], k))
+
+
+def small_runs(monkeypatch, windows):
+    """Workers are forked before: the function is made with the bound in its own globals."""
+    from merscope.operators import kmers, packing
+
+    def bounded(k):
+        def count(batches):
+            packing.RUN_WINDOWS = windows
+            try:
+                yield from packing.count_runs(k)(batches)
+            finally:
+                packing.RUN_WINDOWS = 1 << 19
+
+        return count
+
+    monkeypatch.setattr(kmers, "count_runs", bounded)
+
+
+@pytest.mark.parametrize("k, windows", [(48, 1 << 19), (62, 100), (65, 1 << 19), (94, 7)])
+def test_long_kmers_are_moved_in_runs_by_one_shuffle(spark, monkeypatch, k, windows):
+    small_runs(monkeypatch, windows)
+    rng = random.Random(k)
+    genome = "".join(rng.choices("ACGT", k=3000))
+    seqs = [genome[i : i + 150] for i in (rng.randrange(2850) for _ in range(200))]
+    seqs += [rc(s) for s in seqs[:50]] + random_seqs(rng, 40, 0, 300, "ACGT" * 8 + "acgtN") + [None, "A" * 200, genome * 4]
+    counts = counted_kmers(frame(spark, seqs).repartition(3), k)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(bin" in plan
+    got = {r["kmer"]: r["cnt"] for r in counts.select(decode_words(k).alias("kmer"), "cnt").collect()}
+    assert got == dict(brute_kmers([s for s in seqs if s], k))
