@@ -229,8 +229,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
         encoder = CachedEncoder(tokenizer)
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                raw = encoder.encode(text or "") + bytes(4)
+            for row, encoded in enumerate(encoder.encode_all(text or "" for text in batch.column(1).to_pylist())):
+                raw = encoded + bytes(4)
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append(row)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -14,7 +15,9 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 # White space to Python but not to the tokenizer.
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 JOINED = 1_000
-MOST_CHUNKS, MOST_PIECES = 250_000, 150_000
+# Symbols of the texts whose new words are learned together.
+GROUP = 1 << 18
+MOST_CHUNKS, MOST_PIECES = 250_000, 300_000
 # Longer chunks are not remembered, so that the bound on their number is one on their bytes.
 LONGEST = 256
 
@@ -46,7 +49,7 @@ class CachedEncoder:
         """Many pieces in one call, told apart by the ids that end a word."""
         for at in range(0, len(pieces), JOINED):
             some = pieces[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):
                 self.pieces.update({p: self.direct(p) for p in some})
@@ -61,13 +64,19 @@ class CachedEncoder:
             self.chunks.clear()
         if len(self.pieces) > MOST_PIECES:
             self.pieces.clear()
-        cut = {}
+        alone, cut = {}, {}
         for chunk in chunks:
             if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                cut[chunk] = PIECES.findall(chunk.lower())
+                lower = chunk.lower()
+                if lower.isalpha():
+                    alone[chunk] = lower
+                else:
+                    cut[chunk] = PIECES.findall(lower)
             else:
                 self.chunks[chunk] = self.direct(chunk)
-        self.encode_pieces(list({p for pieces in cut.values() for p in pieces if p not in self.pieces}))
+        self.encode_pieces(list(set(alone.values()).union(*cut.values()).difference(self.pieces)))
+        for chunk, piece in alone.items():
+            self.chunks[chunk] = self.pieces[piece]
         for chunk, pieces in cut.items():
             self.chunks[chunk] = b"".join([self.pieces[p] for p in pieces])
 
@@ -82,6 +91,32 @@ class CachedEncoder:
             self.learn({w for w in words if len(w) <= LONGEST and w not in self.chunks})
             return b"".join([self.chunks[w] if w in self.chunks else self.relearn(w) for w in words])
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """:meth:`encode` of each text; what is new in a group of texts is learned at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self.encode_group(held)
+                held, size = [], 0
+        yield from self.encode_group(held)
+
+    def encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        words = [None if SEPARATORS.search(text) else text.split() for text in texts]
+        if len(self.chunks) > MOST_CHUNKS:
+            self.chunks.clear()
+        fresh = set().union(*(w for w in words if w)).difference(self.chunks)
+        self.learn({w for w in fresh if len(w) <= LONGEST})
+        for text, own in zip(texts, words, strict=True):
+            if own is None:
+                yield self.direct(text)
+                continue
+            try:
+                yield b"".join([self.chunks[w] for w in own])
+            except KeyError:
+                yield b"".join([self.chunks[w] if w in self.chunks else self.relearn(w) for w in own])
+
     def relearn(self, chunk: str) -> bytes:
         """A chunk that is too long to be remembered, or was forgotten when the bound was reached."""
         if len(chunk) > LONGEST:

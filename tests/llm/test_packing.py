@@ -146,3 +146,21 @@ def test_long_chunks_are_not_remembered(encoder):
     raw = encoder.encode(f"{long} tail {long}1")
     assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == direct(f"{long} tail {long}1")
     assert max(map(len, encoder.chunks)) <= tokens.LONGEST
+
+
+def test_new_words_of_many_texts_are_learned_at_once(monkeypatch):
+    from merscope.llm import tokens
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé'9-A", k=rng.randint(1, 9))) for _ in range(3000)] + ["x" * 300, "日本", "<|a", "it's"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(300)] + ["a\x1cb", "", " \n "]
+    encoder = tokens.CachedEncoder(PATH)
+    calls, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda chunks: (calls.append(len(chunks)), learn(chunks)))
+    assert list(encoder.encode_all(texts)) == [encoder.direct(text) for text in texts]
+    assert len(calls) == 1
+    monkeypatch.setattr(tokens, "GROUP", 500)
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 200)
+    monkeypatch.setattr(tokens, "MOST_PIECES", 100)
+    again = tokens.CachedEncoder(PATH)
+    assert list(again.encode_all(texts)) == [encoder.direct(text) for text in texts]
