@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -17,7 +18,8 @@ SEPARATORS = re.compile(r"[\x1c-\x1f]")
 JOINED = 1_000
 # Symbols of the texts whose new words are learned together.
 GROUP = 1 << 18
-MOST_CHUNKS, MOST_PIECES = 250_000, 300_000
+# Chunks and pieces that a generation remembers, together; there are two.
+MOST_CHUNKS, MOST_PIECES = 150_000, 100_000
 # Longer chunks are not remembered, so that the bound on their number is one on their bytes.
 LONGEST = 256
 
@@ -27,20 +29,28 @@ class CachedEncoder:
 
     The tokenizer drops white space and never merges across it, so the ids of
     a text are those of its chunks between white space, and the ids of a chunk
-    are those of the pieces its pattern finds. Both are remembered, up to a
-    bound, as little-endian bytes.
+    are those of the pieces its pattern finds. Both are remembered in one
+    table, up to a bound, as little-endian bytes: a piece that stands alone is
+    a chunk of the same ids. A full table becomes the generation before, of
+    which the words that come again are taken over. Most words of a large input come
+    once: the tables stay small, and what comes often is never forgotten.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for pieces, which come lower-cased and cut: its pattern need not run again.
+        self.of_pieces = Tokenizer(self.tokenizer.model)
+        self.of_pieces.normalizer = normalizers.Sequence([])
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
         ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[list(ends)] = True
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -49,36 +59,40 @@ class CachedEncoder:
         """Many pieces in one call, told apart by the ids that end a word."""
         for at in range(0, len(pieces), JOINED):
             some = pieces[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.of_pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(some):
-                self.pieces.update({p: self.direct(p) for p in some})
+                self.chunks.update({p: self.direct(p) for p in some})
                 continue
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.pieces[piece] = raw[start:end]
-                start = end
+            raw, borders = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.chunks.update(zip(some, [raw[a:b] for a, b in zip(borders, borders[1:])], strict=True))
+
+    def unknown(self, words: set[str]) -> set[str]:
+        """Those of the words that have to be learned; what the generation before knows is taken over."""
+        fresh = words.difference(self.chunks)
+        back = self.before.keys() & fresh
+        self.chunks.update([(w, self.before[w]) for w in back])
+        return fresh - back
+
+    def turn(self) -> None:
+        if len(self.chunks) > MOST_CHUNKS + MOST_PIECES:
+            self.before, self.chunks = self.chunks, {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > MOST_CHUNKS:
-            self.chunks.clear()
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        alone, cut = {}, {}
-        for chunk in chunks:
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                lower = chunk.lower()
-                if lower.isalpha():
-                    alone[chunk] = lower
-                else:
-                    cut[chunk] = PIECES.findall(lower)
-            else:
-                self.chunks[chunk] = self.direct(chunk)
-        self.encode_pieces(list(set(alone.values()).union(*cut.values()).difference(self.pieces)))
-        for chunk, piece in alone.items():
-            self.chunks[chunk] = self.pieces[piece]
-        for chunk, pieces in cut.items():
-            self.chunks[chunk] = b"".join([self.pieces[p] for p in pieces])
+        """Steps on all chunks at once: most words of a large input are new, so what a new one costs counts."""
+        known = self.chunks
+        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        if "<|" in " ".join(plain):
+            plain = [c for c in plain if "<|" not in c]
+        if len(plain) < len(chunks):
+            known.update((c, self.direct(c)) for c in chunks.difference(plain))
+        # These symbols are lower-cased one by one, wherever they stand.
+        lower = " ".join(plain).lower().split()
+        alone = [low for low in lower if low.isalpha()]
+        cut = [(c, PIECES.findall(low)) for c, low in zip(plain, lower, strict=True) if not low.isalpha()]
+        self.encode_pieces(list(self.unknown(set(alone).union(chain.from_iterable(pieces for _, pieces in cut)))))
+        known.update((c, known[low]) for c, low in zip(plain, lower) if c != low and low.isalpha())
+        known.update([(c, b"".join([known[p] for p in pieces])) for c, pieces in cut if len(pieces) != 1 or pieces[0] != c])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -88,7 +102,8 @@ class CachedEncoder:
         try:
             return b"".join([self.chunks[w] for w in words])
         except KeyError:
-            self.learn({w for w in words if len(w) <= LONGEST and w not in self.chunks})
+            self.turn()
+            self.learn(self.unknown({w for w in words if len(w) <= LONGEST}))
             return b"".join([self.chunks[w] if w in self.chunks else self.relearn(w) for w in words])
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -104,16 +119,16 @@ class CachedEncoder:
 
     def encode_group(self, texts: list[str]) -> Iterator[bytes]:
         words = [None if SEPARATORS.search(text) else text.split() for text in texts]
-        if len(self.chunks) > MOST_CHUNKS:
-            self.chunks.clear()
-        fresh = set().union(*(w for w in words if w)).difference(self.chunks)
+        self.turn()
+        fresh = self.unknown(set().union(*(w for w in words if w)))
         self.learn({w for w in fresh if len(w) <= LONGEST})
+        known = self.chunks.__getitem__
         for text, own in zip(texts, words, strict=True):
             if own is None:
                 yield self.direct(text)
                 continue
             try:
-                yield b"".join([self.chunks[w] for w in own])
+                yield b"".join(map(known, own))
             except KeyError:
                 yield b"".join([self.chunks[w] if w in self.chunks else self.relearn(w) for w in own])
 

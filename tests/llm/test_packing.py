@@ -164,3 +164,17 @@ def test_new_words_of_many_texts_are_learned_at_once(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_PIECES", 100)
     again = tokens.CachedEncoder(PATH)
     assert list(again.encode_all(texts)) == [encoder.direct(text) for text in texts]
+
+
+def test_words_that_keep_coming_are_learned_once(monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 1000)
+    monkeypatch.setattr(tokens, "MOST_CHUNKS", 300)
+    monkeypatch.setattr(tokens, "MOST_PIECES", 0)
+    rng = random.Random(5)
+    texts = [f"common Words, {' '.join(''.join(rng.choices('abcdefgh', k=9)) for _ in range(95))}" for _ in range(40)]
+    encoder = tokens.CachedEncoder(PATH)
+    learned, learn, most = Counter(), encoder.learn, []
+    monkeypatch.setattr(encoder, "learn", lambda chunks: (learned.update(chunks), learn(chunks), most.append(len(encoder.chunks))))
+    assert list(encoder.encode_all(texts)) == [encoder.direct(text) for text in texts]
+    assert learned["common"] == learned["Words,"] == 1
+    assert max(most) < 300 + 200
