@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merscope.llm.batches import bound_batches
+from merscope.llm.batches import bound_batches, give_back
 
 # Bounds of the sample that the dictionaries are made of.
 TEXTS_PER_LANGUAGE = 128
@@ -193,6 +193,7 @@ def language_of(text: Column, dictionaries: Dictionaries) -> Column:
     @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from identify_batches(batches, dictionaries)
+        give_back()
 
     return identify(text)
 

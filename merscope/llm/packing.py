@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merscope.llm.batches import bound_batches
+from merscope.llm.batches import bound_batches, frees_memory
 from merscope.llm.scratch import saved
 from merscope.llm.tokens import CachedEncoder
 
@@ -225,6 +225,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     id_type = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
+    @frees_memory
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CachedEncoder(tokenizer)
         for batch in batches:
