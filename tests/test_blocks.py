@@ -213,3 +213,24 @@ def test_sql_kmers_stay_in_their_task_without_python(spark):
     assert {r["kmer"]: r["count"] for r in found.groupBy("kmer").count().collect()} == dict(want)
     with pytest.raises(Exception, match="positive integer"):
         spark.sql("SELECT kmer FROM reads_of_test, LATERAL kmers(seq, CAST(NULL AS INT))").collect()
+
+
+def test_a_task_sends_each_cell_of_the_production_size_once():
+    """Levels that are neither sparse nor full fit in, so nothing is sent twice; hits take few bytes."""
+    params = SketchParams()
+    sketch, rng = blocks.TaskSketch(params), np.random.default_rng(3)
+    for _ in range(16):
+        sketch.add([rng.integers(0, 1 << 42, 1 << 17)])
+        assert not sketch.should_send()
+    rows = [row for row in sketch.rows() if not row[3]]
+    cells = sum(len(row[4]) // 2 for row in rows)
+    assert sum(map(len, (x for row in rows for x in row[4:]))) < 7.1 * cells
+    assert sum(int(blocks.cells_of_row(*row[4:], params.u_exp).cnt.sum()) for row in rows) == 16 * (1 << 17) * params.copies
+
+
+def test_hits_of_all_widths_come_back():
+    for most in (1, 255, 256, 65536, 1 << 32, 1 << 40):
+        cnt = np.array([1, most])
+        cells = blocks.Cells(np.array([3, 9]), np.array([1, 2], np.uint32), np.array([1, 5], np.uint32), cnt)
+        row = blocks.block_row(0, 0, 0, cells, 1 << 14, 13)
+        assert blocks.cells_of_row(*row[4:], 13).cnt.tolist() == cnt.tolist()
