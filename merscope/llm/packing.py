@@ -230,8 +230,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
         encoder = CachedEncoder(tokenizer)
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, encoded in enumerate(encoder.encode_all(text or "" for text in batch.column(1).to_pylist())):
-                raw = encoded + bytes(4)
+            found, borders = encoder.encode_column([text or "" for text in batch.column(1).to_pylist()])
+            for row, (begin, end) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):
+                raw = found[begin:end].tobytes() + bytes(4)
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append(row)

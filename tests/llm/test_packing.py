@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import document, frame, messy
 from hypothesis import given, settings
@@ -178,3 +179,58 @@ def test_words_that_keep_coming_are_learned_once(monkeypatch):
     assert list(encoder.encode_all(texts)) == [encoder.direct(text) for text in texts]
     assert learned["common"] == learned["Words,"] == 1
     assert max(most) < 300 + 200
+
+
+def column(encoder, texts):
+    ids, borders = encoder.encode_column(texts)
+    assert len(borders) == len(texts) + 1
+    return [ids[a:b].tolist() for a, b in zip(borders, borders[1:])]
+
+
+PARTS = ["'s", "'", "l", "re", "'Ve", "S", "T", "d", "m", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "é", "É", "ß", "ẞ", "×", "÷", "Ö", "ÿ", "²", "1", "23", "<", "|", "<|endoftext|>", "日", "\u0301", "a", "B", "İ", "\x00", "-", ".", "À"]
+
+
+@pytest.mark.parametrize("stretch", [7, 1 << 21])
+def test_columns_have_the_ids_of_their_texts(monkeypatch, stretch):
+    monkeypatch.setattr(tokens, "STRETCH", stretch)
+    rng = random.Random(9)
+    encoder = tokens.CachedEncoder(PATH)
+    assert column(encoder, []) == [] and column(encoder, ["", ""]) == [[], []]
+    assert column(encoder, ODD) == [direct(text) for text in ODD]
+    for _ in range(60):
+        texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(rng.randint(0, 30))]
+        assert column(encoder, texts) == [list(struct.unpack(f"<{len(raw) // 4}I", raw)) for raw in map(encoder.direct, texts)]
+
+
+def test_rows_of_the_table_are_bounded(monkeypatch):
+    """Long pieces are forgotten, frequent ones learned once, and a full table gives the same ids."""
+    monkeypatch.setattr(tokens, "STRETCH", 1000)
+    monkeypatch.setattr(tokens, "MOST_ROWS", 300)
+    rng = random.Random(5)
+    texts = [f"common Words, {' '.join(''.join(rng.choices('abcdefgh', k=9)) for _ in range(95))}" for _ in range(40)]
+    texts += ["ab" * 300 + " tail " + "日本" * 300 + " tail"] * 3 + texts[:5]
+    encoder = tokens.CachedEncoder(PATH)
+    learned, some, most = Counter(), encoder.encode_some, []
+    monkeypatch.setattr(encoder, "encode_some", lambda pieces: (learned.update(pieces), most.append(len(encoder.pieces)), some(pieces))[2])
+    assert column(encoder, texts) == [np.frombuffer(encoder.direct(text), "<u4").tolist() for text in texts]
+    assert learned["common"] == learned["words"] == learned[","] == 1
+    assert max(most) <= 300
+    column(encoder, ["end"])
+    assert max(map(len, encoder.pieces.to_pylist())) <= tokens.LONGEST
+
+
+def test_only_new_pieces_of_a_table_are_strings(spark, monkeypatch):
+    """Packing cuts and looks up pieces in arrays: words that were seen are not looked up one by one."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeé", k=6)) for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [" ".join(rng.choices(words, k=40)) for _ in range(200)]})
+    learned, some = [], tokens.CachedEncoder.encode_some
+    monkeypatch.setattr(tokens.CachedEncoder, "encode_some", lambda self, pieces: (learned.extend(pieces), some(self, pieces))[1])
+    monkeypatch.setattr(tokens.CachedEncoder, "encode_all", lambda self, texts: iter([None for _ in texts]))
+    cut = []
+    docs = frame(spark, [document(1, "a")])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, step, fields: cut.append(step))
+    packing.token_pieces(docs, PATH)
+    rows = pa.Table.from_batches(cut[0](iter([batch, batch])))
+    assert rows["length"].to_pylist() == [len(direct(text)) + 1 for text in batch["text"].to_pylist()] * 2
+    assert len(learned) == len(set(learned)) <= 50
